@@ -1,8 +1,10 @@
 """The registered queries of the training-data operators and their SQL."""
 
+from tidemark.llm.byte_bpe import op6_byte_bpe
 from tidemark.llm.mpeg_audio import op7_mpeg_audio
 
 QUERIES = {
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_mpeg_audio": op7_mpeg_audio,
 }
 
