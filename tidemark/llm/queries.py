@@ -1,9 +1,11 @@
 """The registered queries of the training-data operators and their SQL."""
 
 from tidemark.llm.byte_bpe import op6_byte_bpe
+from tidemark.llm.html_density import op1_html_density
 from tidemark.llm.mpeg_audio import op7_mpeg_audio
 
 QUERIES = {
+    "op1_html_density": op1_html_density,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mpeg_audio": op7_mpeg_audio,
 }
