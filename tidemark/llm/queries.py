@@ -3,11 +3,16 @@
 from tidemark.llm.byte_bpe import op6_byte_bpe
 from tidemark.llm.html_density import op1_html_density
 from tidemark.llm.mpeg_audio import op7_mpeg_audio
+from tidemark.llm.quality_rules import op10_quality_rules
+from tidemark.llm.quality_rules_sql import OP10_SQL
 
 QUERIES = {
     "op1_html_density": op1_html_density,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mpeg_audio": op7_mpeg_audio,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_quality_rules": OP10_SQL,
+}
