@@ -16,7 +16,9 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _RNG = np.random.default_rng(20240131)
 _BYTE_CODE = _RNG.integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Two bases and their inverses modulo 2**64.
+_BASE = tuple(np.uint64(x) for x in (*_ODD, *(pow(x, -1, 2**64) for x in _ODD)))
 #: Bytes of text that one numpy pass handles; a longer text is one pass of its own.
 SLICE_BYTES = 1 << 20
 
@@ -122,15 +124,17 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: in
 
 
 def window_hashes(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-    """A hash of every `size` consecutive entries; windows that cross rows are the caller's to drop."""
+    """A hash of every `size` consecutive entries; windows that cross rows are the caller's to drop.
+
+    Prefix sums of entry * base**place; dividing by base**start makes equal windows equal anywhere.
+    """
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = powers(size, which)
-    out = np.zeros(n, np.uint64)
-    for j in range(size):
-        out += words[j : j + n] * base[j + 1]
-    return mix(out)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(len(words), which)[: len(words)], dtype=np.uint64, out=total[1:])
+    inverse = powers(n, which + 2)[:n]
+    return mix((total[size:] - total[:-size]) * inverse)
 
 
 def windows_of_rows(first_word: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
