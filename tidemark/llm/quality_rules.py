@@ -125,7 +125,8 @@ def thresholds(counts: DataFrame, lang: str = "_lang", source: str = "_source")
     overall = _quantiles(sketch.withColumn("_all", F.lit(1)), ["_all"]).select("_all", *[F.col(x).alias(f"all_{x}") for x in names])
     joined = own.join(by_lang, "_lang").withColumn("_all", F.lit(1)).join(overall, "_all")
     choose = lambda x: F.when(F.col("n") >= MIN_GROUP, F.col(x)).when(F.col("n_lang") >= MIN_GROUP, F.col(f"lang_{x}")).otherwise(F.col(f"all_{x}"))
-    return joined.select("_lang", "_source", *[choose(x).alias(x) for x in names])
+    # written, so that the join reads a table of known size and a hot group can be split
+    return scratch(counts.sparkSession, joined.select("_lang", "_source", *[choose(x).alias(x) for x in names]), "quality-limits")
 
 
 def within_limits() -> Column:
