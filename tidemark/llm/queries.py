@@ -4,12 +4,14 @@ from tidemark.llm.byte_bpe import op6_byte_bpe
 from tidemark.llm.html_density import op1_html_density
 from tidemark.llm.mixing import OP5_SQL, op5_mixing
 from tidemark.llm.mpeg_audio import op7_mpeg_audio
+from tidemark.llm.near_dedup import op4_weighted_minhash
 from tidemark.llm.quality_rules import op10_quality_rules
 from tidemark.llm.quality_rules_sql import OP10_SQL
 from tidemark.llm.substring_dedup import op8_fixed_block_anchors
 
 QUERIES = {
     "op1_html_density": op1_html_density,
+    "op4_weighted_minhash": op4_weighted_minhash,
     "op5_mixing": op5_mixing,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mpeg_audio": op7_mpeg_audio,
