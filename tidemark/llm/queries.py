@@ -2,6 +2,7 @@
 
 from tidemark.llm.byte_bpe import op6_byte_bpe
 from tidemark.llm.html_density import op1_html_density
+from tidemark.llm.line_dedup import OP2_SQL, op2_line_suffix_array
 from tidemark.llm.mixing import OP5_SQL, op5_mixing
 from tidemark.llm.mpeg_audio import op7_mpeg_audio
 from tidemark.llm.near_dedup import op4_weighted_minhash
@@ -11,6 +12,7 @@ from tidemark.llm.substring_dedup import op8_fixed_block_anchors
 
 QUERIES = {
     "op1_html_density": op1_html_density,
+    "op2_line_suffix_array": op2_line_suffix_array,
     "op4_weighted_minhash": op4_weighted_minhash,
     "op5_mixing": op5_mixing,
     "op6_byte_bpe": op6_byte_bpe,
@@ -20,6 +22,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_line_suffix_array": OP2_SQL,
     "op5_mixing": OP5_SQL,
     "op10_quality_rules": OP10_SQL,
 }
