@@ -6,6 +6,7 @@ from tidemark.llm.line_dedup import OP2_SQL, op2_line_suffix_array
 from tidemark.llm.mixing import OP5_SQL, op5_mixing
 from tidemark.llm.mpeg_audio import op7_mpeg_audio
 from tidemark.llm.near_dedup import op4_weighted_minhash
+from tidemark.llm.quality_classifier import op9_weak_label_quality
 from tidemark.llm.quality_rules import op10_quality_rules
 from tidemark.llm.quality_rules_sql import OP10_SQL
 from tidemark.llm.substring_dedup import op8_fixed_block_anchors
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_fixed_block_anchors": op8_fixed_block_anchors,
+    "op9_weak_label_quality": op9_weak_label_quality,
     "op10_quality_rules": op10_quality_rules,
 }
 
