@@ -6,6 +6,7 @@ from tidemark.llm.line_dedup import OP2_SQL, op2_line_suffix_array
 from tidemark.llm.mixing import OP5_SQL, op5_mixing
 from tidemark.llm.mpeg_audio import op7_mpeg_audio
 from tidemark.llm.near_dedup import op4_weighted_minhash
+from tidemark.llm.private_data import op3_private_data
 from tidemark.llm.quality_classifier import op9_weak_label_quality
 from tidemark.llm.quality_rules import op10_quality_rules
 from tidemark.llm.quality_rules_sql import OP10_SQL
@@ -14,6 +15,7 @@ from tidemark.llm.substring_dedup import op8_fixed_block_anchors
 QUERIES = {
     "op1_html_density": op1_html_density,
     "op2_line_suffix_array": op2_line_suffix_array,
+    "op3_private_data": op3_private_data,
     "op4_weighted_minhash": op4_weighted_minhash,
     "op5_mixing": op5_mixing,
     "op6_byte_bpe": op6_byte_bpe,
