@@ -24,4 +24,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tidemark.plans import documents  # noqa: E402, F401
+from tidemark.plans import conversations, documents, events, search  # noqa: E402, F401
