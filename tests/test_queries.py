@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidemark.queries import ORACLES, QUERIES
@@ -23,7 +24,7 @@ def duck():
 def plain(value):
     if hasattr(value, "tolist"):
         value = value.tolist()
-    if value is None or value != value or str(value) == "<NA>":
+    if value is None or value is pd.NA or value is pd.NaT or value != value:
         return None
     if isinstance(value, float):
         return str(int(value)) if math.isfinite(value) and value.is_integer() else f"{value:.9g}"
