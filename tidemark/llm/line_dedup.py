@@ -53,13 +53,12 @@ def later_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ids = lines.select("id", "text_hash", "pos", F.xxhash64("line").alias("x"), F.xxhash64(F.lit(17), "line").alias("y"), (F.length("line") >= MIN_CHARS).alias("long"))
     is_later = F.struct(*[F.col(c) for c in _PLACE]) > F.col("first")
     intervals = _intervals(ids, ["x", "y"], "lines-1")
-    active = scratch(spark, ids.join(intervals, ["x", "y"]).select(*_PLACE, "rank", "long", is_later.alias("later")), "lines-active-1")
+    active = scratch(spark, ids.join(intervals, ["x", "y"]).select(*_PLACE, "rank", "long", is_later.alias("later")).distinct(), "lines-active-1")
     found = active.where("later").select(*_PLACE, F.lit(1).alias("depth"), "long")
     depth = 1
     for _ in range(MAX_DOUBLINGS):
-        a, b = active.select(*_PLACE, "rank").distinct().alias("a"), active.select(*_PLACE, "rank").distinct().alias("b")
+        a, b = active.select(*_PLACE, "rank").alias("a"), active.select(*_PLACE, "rank").alias("b")
         pairs = a.join(b, _same("a", "b", depth)).select("a.id", "a.text_hash", "a.pos", F.col("a.rank").alias("x"), F.col("b.rank").alias("y"))
-        pairs = scratch(spark, pairs, "lines-pairs")
         depth *= 2
         intervals = _intervals(pairs, ["x", "y"], f"lines-{depth}")
         if intervals.isEmpty():
