@@ -61,10 +61,14 @@ def _slices(texts: pa.ChunkedArray, block: int) -> list[Slice]:
     return out
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and, for each, whether it came more than once."""
-    distinct, count = np.unique(keys, return_counts=True)
-    return distinct, count > 1
+def _ranked(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct tuples of the keys, in their order, and the rank of every entry's tuple."""
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([np.diff(k[order]) != 0 for k in keys])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return order[new], rank
 
 
 def _bucket_key(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -101,9 +105,10 @@ def _flags(table: pa.Table, step: int, distinct: np.ndarray) -> np.ndarray:
 def _hit_windows(parts: list[Slice], answers: pa.Table, n_buckets: int) -> list[np.ndarray]:
     """For each slice, which probes are anchors."""
     keys = [_bucket_key(p.probes, n_buckets) for p in parts]
-    distinct = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-    hit = _flags(answers, 1, distinct)
-    return [hit[np.searchsorted(distinct, k)] for k in keys]
+    every = np.concatenate(keys)
+    at, rank = _ranked(every)
+    hit = _flags(answers, 1, every[at])
+    return np.split(hit[rank], np.cumsum([len(k) for k in keys[:-1]]))
 
 
 def _candidates(parts: list[Slice], anchors: list[np.ndarray], size: int, block: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -123,17 +128,10 @@ def _candidates(parts: list[Slice], anchors: list[np.ndarray], size: int, block:
     return out
 
 
-_WIDE = np.dtype([("key", "<u8"), ("high", "<u4"), ("more", "<u4")])
-
-
-def _wide(candidates: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_buckets: int) -> list[np.ndarray]:
-    """Sortable 96-bit keys: bucket and lower half, upper half, second hash."""
-    out = []
-    for _, one, two in candidates:
-        w = np.zeros(len(one), _WIDE)
-        w["key"], w["high"], w["more"] = _bucket_key(one, n_buckets), (one >> np.uint64(32)).astype(np.uint32), two
-        out.append(w)
-    return out
+def _wide(candidates: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 96-bit keys of all slices as two columns: bucket and lower half, upper half and second hash."""
+    one, two = (np.concatenate([c[i] for c in candidates]) for i in (1, 2))
+    return _bucket_key(one, n_buckets), (one & ~_LOW) | two
 
 
 def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -164,28 +162,26 @@ def _plan(df: DataFrame, id_col: str, text_col: str, size: int, result: str) ->
     def probe(key: tuple, table: pa.Table) -> pa.Table:
         parts = _slices(table["text"], block)
         keys = np.concatenate([_bucket_key(p.probes, n_buckets) for p in parts])
-        order = np.argsort(keys, kind="stable")
-        keys, aligned = keys[order], np.concatenate([p.aligned for p in parts])[order]
-        begin = np.flatnonzero(np.diff(keys, prepend=~keys[:1])) if len(keys) else np.zeros(0, np.int64)
-        again = np.diff(begin, append=len(keys)) > 1
-        indexed = np.logical_or.reduceat(aligned, begin) if len(begin) else np.zeros(0, bool)
-        return pa.table(_packed(key[0].as_py(), keys[begin], indexed, again), probe_schema)
+        at, rank = _ranked(keys)
+        indexed = np.zeros(len(at), bool)
+        indexed[rank[np.concatenate([p.aligned for p in parts])]] = True
+        return pa.table(_packed(key[0].as_py(), keys[at], indexed, np.bincount(rank, minlength=len(at)) > 1), probe_schema)
 
     def anchor(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         lows = [np.frombuffer(r["low"], np.uint32) for r in rows]
         bits = lambda name: np.concatenate([np.unpackbits(np.frombuffer(r[name], np.uint8), count=len(x)) for r, x in zip(rows, lows, strict=True)]).astype(bool)
-        return _answer(1, key[0].as_py(), rows, lows, np.concatenate(lows), bits("c1"), bits("c0"))
+        return _answer(1, key[0].as_py(), rows, lows, [np.concatenate(lows)], bits("c1"), bits("c0"))
 
-    def _answer(step: int, bucket: int, rows: list[dict], lows: list[np.ndarray], keys: np.ndarray, again: np.ndarray, indexed: np.ndarray | None) -> pa.Table:
-        order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        begin = np.flatnonzero(np.concatenate([[True], ~same]))
-        hit = (np.diff(begin, append=len(keys)) > 1) | np.logical_or.reduceat(again[order], begin)
+    def _answer(step: int, bucket: int, rows: list[dict], lows: list[np.ndarray], keys: list[np.ndarray], again: np.ndarray, indexed: np.ndarray | None) -> pa.Table:
+        _, rank = _ranked(*keys)
+        hit = np.bincount(rank) > 1
+        hit[rank[again]] = True
         if indexed is not None:
-            hit &= np.logical_or.reduceat(indexed[order], begin)
-        flag = np.zeros(len(keys), bool)
-        flag[order] = np.repeat(hit, np.diff(begin, append=len(keys)))
+            known = np.zeros(len(hit), bool)
+            known[rank[indexed]] = True
+            hit &= known
+        flag = hit[rank]
         out: dict[str, list] = {"grp": [], "step": [], "bucket": [], "hits": []}
         at = 0
         for r, x in zip(rows, lows, strict=True):
@@ -200,32 +196,29 @@ def _plan(df: DataFrame, id_col: str, text_col: str, size: int, result: str) ->
         if not table.num_rows:
             return extend_schema.empty_table()
         parts = _slices(table["text"], block)
-        wide = np.concatenate(_wide(_candidates(parts, _hit_windows(parts, answers, n_buckets), size, block), n_buckets))
-        distinct, again = _distinct(wide)
-        return pa.table(_packed(key[0].as_py(), distinct["key"], distinct["high"], distinct["more"], again), extend_schema)
+        wide, rest = _wide(_candidates(parts, _hit_windows(parts, answers, n_buckets), size, block), n_buckets)
+        at, rank = _ranked(wide, rest)
+        return pa.table(_packed(key[0].as_py(), wide[at], rest[at], np.bincount(rank, minlength=len(at)) > 1), extend_schema)
 
     def match(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         lows = [np.frombuffer(r["low"], np.uint32) for r in rows]
-        wide = np.zeros(sum(map(len, lows)), _WIDE)
-        wide["key"] = np.concatenate(lows)
-        wide["high"] = np.frombuffer(b"".join(r["c0"] for r in rows), np.uint32)
-        wide["more"] = np.frombuffer(b"".join(r["c1"] for r in rows), np.uint32)
-        again = np.concatenate([np.unpackbits(np.frombuffer(r["c2"], np.uint8), count=len(x)) for r, x in zip(rows, lows, strict=True)])
-        return _answer(2, key[0].as_py(), rows, lows, wide, again.astype(bool), None)
+        rest = np.frombuffer(b"".join(r["c0"] for r in rows), np.uint64)
+        again = np.concatenate([np.unpackbits(np.frombuffer(r["c1"], np.uint8), count=len(x)) for r, x in zip(rows, lows, strict=True)])
+        return _answer(2, key[0].as_py(), rows, lows, [np.concatenate(lows), rest], again.astype(bool), None)
 
     def finish(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return final_schema.empty_table()
         parts = _slices(table["text"], block)
         found = _candidates(parts, _hit_windows(parts, answers, n_buckets), size, block)
-        wide = _wide(found, n_buckets)
-        distinct = np.unique(np.concatenate(wide))
-        hit = _flags(answers, 2, distinct["key"])
+        wide, rest = _wide(found, n_buckets)
+        first, rank = _ranked(wide, rest)
+        hits = np.split(_flags(answers, 2, wide[first])[rank], np.cumsum([len(at) for at, _, _ in found[:-1]]))
         columns: list[list] = [[], [], []]
-        for p, (at, _, _), keys in zip(parts, found, wide, strict=True):
+        for p, (at, _, _), hit in zip(parts, found, hits, strict=True):
             flags = np.zeros(len(p.words), bool)
-            flags[at[hit[np.searchsorted(distinct, keys)]]] = True
+            flags[at[hit]] = True
             gone = covered(flags, size, len(p.words))
             data = p.raw.tobytes()
             for a, b in zip(p.first_word[:-1], p.first_word[1:], strict=True):
@@ -250,7 +243,7 @@ def _plan(df: DataFrame, id_col: str, text_col: str, size: int, result: str) ->
 
     binary = lambda *names: [(n, pa.binary()) for n in names]
     probe_schema = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), *binary("low", "c0", "c1")])
-    extend_schema = pa.schema([*probe_schema, *binary("c2")])
+    extend_schema = probe_schema  # c0 is the rest of the hash there
     answer_schema = pa.schema([("grp", pa.int32()), ("step", pa.int32()), ("bucket", pa.int32()), *binary("hits")])
     more = {
         "digest": "n_words long, n_removed long, kept_sha256 string",
@@ -266,7 +259,7 @@ def _plan(df: DataFrame, id_col: str, text_col: str, size: int, result: str) ->
     probes = docs.groupBy("grp").applyInArrow(probe, "bucket int, grp int, low binary, c0 binary, c1 binary")
     anchors = probes.groupBy("bucket").applyInArrow(anchor, answer_ddl)
     windows = docs.groupBy("grp").cogroup(anchors.groupBy("grp")).applyInArrow(
-        extend, "bucket int, grp int, low binary, c0 binary, c1 binary, c2 binary")
+        extend, "bucket int, grp int, low binary, c0 binary, c1 binary")
     matches = windows.groupBy("bucket").applyInArrow(match, answer_ddl)
     answers = anchors.unionByName(matches)
     done = docs.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(finish, final_ddl)
