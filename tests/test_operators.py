@@ -8,6 +8,7 @@ from tidemark.functions import citations as cite
 from tidemark.functions import model
 from tidemark.operators import chunking, folds, store, structure
 from tidemark.operators import sequence as seq
+from tidemark.queries import QUERIES
 from tidemark.sources import docx, parsed
 from tidemark.streaming import trace
 
@@ -168,3 +169,14 @@ def test_streams(spark, tmp_path):
     assert sorted(got[got.accepted].event_id) == [0, 1, 2, 3, 4, 20, 21, 22, 23, 24]
     stats = stream(spark, trace.window_stats(trace.read_events(spark, str(tmp_path / "in"))), "stats", "complete")
     assert stats.n.sum() == 40
+
+
+def test_ids_stay_different_beyond_their_least_length(spark, tmp_path):
+    docs = spark.range(10_050).selectExpr("id AS doc_id", "'hot' AS source", "'t' AS text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {r.doc_id: r.chunk_id for r in QUERIES["lag_lead_ids"](spark, str(tmp_path)).collect()}
+    assert len(set(ids.values())) == 10_050
+    assert (ids[7], ids[1000], ids[10_000]) == ("hot_0007", "hot_1000", "hot_10000")
+    blocks = spark.range(1005).selectExpr("'d' AS doc_id", "int(id) AS pos", "'image' AS block_type", "'x' AS text", "int(null) AS heading_level", "cast(null AS array<array<string>>) AS table_rows")
+    chunks = [r.chunk_id for r in chunking.chunk_blocks(blocks).collect()]
+    assert len(set(chunks)) == 1005 and {"d__ROOT__image__007", "d__ROOT__image__1000"} <= set(chunks)

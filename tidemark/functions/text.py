@@ -44,3 +44,8 @@ def first_match(value: Column, cases: list[tuple[Column, Column]], default: Colu
     """Ordered alternatives: the value of the first case that holds."""
     out = reduce(lambda acc, case: acc.when(*case), cases[1:], F.when(*cases[0]))
     return out.otherwise(default if default is not None else F.lit(None))
+
+
+def zero_padded(number: Column, least: int) -> Column:
+    """Digits filled with zeros to a least length; lpad alone would cut longer ones."""
+    return F.when(F.length(number) < least, F.lpad(number, least, "0")).otherwise(number)

@@ -110,7 +110,7 @@ def chunk_blocks(blocks: DataFrame, max_tokens: int = MAX_TOKENS, inline_rows: i
     rows = texts.unionByName(same("heading", "heading")).unionByName(same("image", "image")).unionByName(tables, allowMissingColumns=True)
     number = F.row_number().over(Window.partitionBy("doc_id", "section_path", "kind").orderBy("pos"))
     root = F.when(F.col("section_path") == "", "ROOT").otherwise(F.col("section_path"))
-    rows = rows.withColumn("chunk_id", F.concat_ws("__", "doc_id", root, "kind", F.lpad(number.cast("string"), 3, "0")))
+    rows = rows.withColumn("chunk_id", F.concat_ws("__", "doc_id", root, "kind", tx.zero_padded(number.cast("string"), 3)))
     is_big = F.coalesce("big", F.lit(False))
     full_id = F.concat("chunk_id", F.lit("__full"))
     chunks = rows.select("doc_id", "chunk_id", "chunk_type", "section_path", "title", "content", "pos",

@@ -131,8 +131,7 @@ def lag_lead_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours and sequential ids inside a source."""
     w = Window.partitionBy("source").orderBy("doc_id")
     number = (F.row_number().over(w) - 1).cast("string")
-    # ids of four digits at least; lpad would cut longer ones
-    padded = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(F.substring(number, 1, 4))
+    padded = tx.zero_padded(number, 4)
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.lag("doc_id").over(w).alias("prev_id"), F.lead("doc_id").over(w).alias("next_id"),
         F.lag(F.substring("text", 1, 30)).over(w).alias("prev_text"), F.concat(tx.safe_id(F.col("source"), 30), F.lit("_"), padded).alias("chunk_id"))
