@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing, tokenising.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the runner writes it as Parquet and gives
-the file to the next stage. All but the last return the columns of `documents`.
+the file to the next stage. All but the last return the columns of `documents`; the mixing stage repeats
+rows where a target needs it, and the last one counts these copies.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    return byte_bpe.encoding_digest(docs)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, copies) of every document; equal rows are one with their number."""
+    return byte_bpe.encoding_digest(docs).groupBy("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").agg(F.count(F.lit(1)).alias("copies"))
 
 
 STAGES = [

@@ -41,3 +41,15 @@ def test_edge_rows(spark):
     assert sorted(r.n_tokens for r in got) == [0, 0, 0, 50_000]
     assert len({r.sampled for r in got if r.doc_id == 1}) == 1
     assert m.probabilities(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_sample_meets_the_targets(spark):
+    """A scarce language whose target is far over its share: its documents have to come several times."""
+    data = [(i, "w " * 20, "es" if i % 50 == 0 else "en", "a" if i % 3 else "b", 0, 0) for i in range(3000)]
+    df = spark.createDataFrame(data, DDL)
+    targets = {"lang": spark.createDataFrame([("es", 0.2), ("en", 0.8)], "_lang string, target double")}
+    kept = m.sample(df, targets=targets).toPandas()
+    assert (kept.lang == "es").mean() == pytest.approx(0.2, abs=0.02)
+    assert len(kept) == pytest.approx(1500, rel=0.05)
+    decided = {r.doc_id for r in m.probabilities(df, targets=targets).where("sampled").collect()}
+    assert set(kept.doc_id) == decided

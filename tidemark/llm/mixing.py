@@ -2,8 +2,11 @@
 
 Documents fall into cells of source, language and topic. The cells' token counts are raked: in turn the
 weights are scaled so that the shares of the sources, the languages and the topics meet their targets,
-`ROUNDS` times over. A document is then kept with the probability least(1, rate * weight of its cell),
-by a hash of its id, so that a run can be repeated.
+`ROUNDS` times over. A document then has rate * weight of its cell copies on average: the whole part of
+that for certain, and one more with the probability of the rest, by a hash of its id, so that a run can be
+repeated. So it is in the sample with the probability least(1, rate * weight), and `copies` times over
+where the weight asks for more than the corpus has: with each document once, scarce sources, languages and
+topics would fall short of their targets.
 
 Targets are shares to the power of `TEMPER`, made to sum to one, unless given. Cells are aggregated and
 raked as DataFrames, whatever their number. Null source or language counts with the empty string; null
@@ -82,6 +85,12 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(16**12))
 
 
+def copies(key: Column, expected: Column) -> Column:
+    """How often a document is in the sample: expected times on average, at least once where that is 1 or more."""
+    whole = F.floor(expected)
+    return whole + (uniform(key) < expected - whole).cast("long")
+
+
 def probabilities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "source", lang: str = "lang",
                   targets: dict[str, DataFrame] | None = None, rate: float = RATE) -> DataFrame:
     """(doc_id, n_tokens, topic, weight, probability, sampled) of every row."""
@@ -97,16 +106,22 @@ def probabilities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "source", lang: str = "lang",
-           targets: dict[str, DataFrame] | None = None, rate: float = RATE) -> DataFrame:
-    """The sampled rows of df, with its columns."""
+def drawn(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "source", lang: str = "lang",
+          targets: dict[str, DataFrame] | None = None, rate: float = RATE) -> DataFrame:
+    """(_row, _copies): the sampled rows of df, each once, with the number of their copies."""
     nested = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
     rows = cell_columns(nested, f"_row.{text_col}", f"_row.{source}", f"_row.{lang}")
     cells = scratch(df.sparkSession, rows.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens")), "mix-cells")
     weights = rake(cells, targets).drop("tokens")
-    chance = F.round(F.least(F.lit(1.0), rate * F.col("weight")), 6)
-    kept = rows.drop("_tokens").join(weights, ["_source", "_lang", "_topic"]).where(uniform(F.col(f"_row.{id_col}")) < chance)
-    return kept.select("_row.*")
+    n = copies(F.col(f"_row.{id_col}"), F.round(rate * F.col("weight"), 6))
+    return rows.drop("_tokens").join(weights, ["_source", "_lang", "_topic"]).select("_row", n.alias("_copies")).where("_copies > 0")
+
+
+def sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source: str = "source", lang: str = "lang",
+           targets: dict[str, DataFrame] | None = None, rate: float = RATE) -> DataFrame:
+    """The sampled rows of df with its columns, each as often as it has copies: its token shares meet the targets."""
+    kept = drawn(df, id_col, text_col, source, lang, targets, rate)
+    return kept.select("_row", F.explode(F.expr("sequence(1L, _copies)"))).select("_row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
