@@ -36,6 +36,21 @@ def test_only_the_article_is_left(page):
     assert main_text(page)[0] == LINES
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body>{NAV}<div class='layout has-sidebar'>{ARTICLE}<div class='sidebar'><p>Less of a text.</p></div></div></body>",
+        f"<body>{NAV}<div id='content' class='comments-open'>{ARTICLE}</div></body>",
+        f"<body><div title='the hidden cost' data-note='aria-hidden=true'>{ARTICLE}</div><div hidden>Not shown to anyone.</div></body>",
+        f"<body><article>{ARTICLE.replace('<ul>', '<section class=related-work><ul>')}</section></article></body>",
+        f"<body><article>{ARTICLE}<section class='comments'><p>I do not agree with this.</p></section></article></body>",
+        f"<body><article>{ARTICLE}<div class='related'><a href='/1'>Another article to read</a></div></article></body>",
+    ],
+)
+def test_names_alone_do_not_drop_text(page):
+    assert main_text(page)[0] == LINES
+
+
 def test_unclosed_and_misnested_markup():
     page = '<body><article><h1>Title here</h1><p><b>First part of text<br><p>Second part.</p><li>x</article><footer>no</footer>'
     assert main_text(page)[0] == "Title here\nFirst part of text\nSecond part.\nx"

@@ -58,22 +58,39 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=|[\"'])*+)(?:>|\Z)",
     re.S,
 )
-_NAMES = re.compile(r"(?i)\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none")
+#: Of these words, some name parts of articles too: inside an article they drop only what is thin or mostly links.
+UNSURE_WORDS = frozenset(
+    "side sidebar aside notice notices disclaimer alert related recommended recommendations share sharing social promo "
+    "banner overlay modal popup skip toolbar copyright sponsor sponsored widget widgets consent subscription".split()
+)
+#: A named subtree with this share of the page's text stays; one is mostly links, or thin, from here.
+HOLDS_MOST, LINKED, THIN = 0.5, 0.3, 12.0
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"(?i)display\s*:\s*none")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _is_furniture(attrs: str) -> bool:
-    if not attrs.strip():
-        return False
-    if _HIDDEN.search(attrs):
-        return True
-    for name, *values in _NAMES.findall(attrs):
-        value = next((v for v in values if v), "")
-        words = {w.lower() for w in _WORDS.findall(value)}
-        if words & (DROP_ROLES if name.lower() == "role" else DROP_WORDS):
-            return True
-    return False
+def _attributes(attrs: str) -> dict[str, str]:
+    """Names in lower case and values; the first of a repeated name holds."""
+    found: dict[str, str] = {}
+    if attrs.strip():
+        for name, *values in _ATTR.findall(attrs):
+            found.setdefault(name.lower(), next((v for v in values if v), ""))
+    return found
+
+
+def _is_hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(attrs.get("style", "")))
+
+
+def _named(attrs: dict[str, str]) -> int:
+    """2 where class or id has a word of furniture, 1 where it only has words that are unsure, else 0."""
+    words = {w.lower() for name in ("class", "id") for w in _WORDS.findall(attrs.get(name, ""))} & DROP_WORDS
+    return 2 if words - UNSURE_WORDS else int(bool(words))
+
+
+def _has_drop_role(attrs: dict[str, str]) -> bool:
+    return not DROP_ROLES.isdisjoint(w.lower() for w in _WORDS.findall(attrs.get("role", "")))
 
 
 class Dom:
@@ -81,6 +98,7 @@ class Dom:
 
     def __init__(self, page: str) -> None:
         self.tag, self.parent, self.dropped = ["#root"], [-1], [False]
+        self.named = [0]  # by class and id; dropped has all else
         self.texts: list[tuple[int, int, str]] = []  # node, block, text
         self.block = 0
         stack = [0]
@@ -122,12 +140,15 @@ class Dom:
         drop = self.dropped[top] or name in DROP_TAGS
         if not drop and name == "header":
             drop = not any(self.tag[i] in ("article", "main") for i in stack)
-        if not drop and name not in KEEP_TAGS:
-            drop = _is_furniture(attrs)
-        elif not drop and _HIDDEN.search(attrs):
-            drop = name not in ("html", "body")
+        named = 0
+        if not drop:
+            have = _attributes(attrs)
+            drop = name not in ("html", "body") and _is_hidden(have)
+            if not drop and name not in KEEP_TAGS:
+                drop, named = _has_drop_role(have), _named(have)
         self.tag.append(name)
         self.parent.append(top)
+        self.named.append(named)
         self.dropped.append(drop)
         if name not in VOID:
             stack.append(len(self.tag) - 1)
@@ -164,19 +185,53 @@ def _log_ratio(c: float, t: float, lc: float, lt: float, body_ratio: float) -> f
     return c / t * math.log(max(c / lc1 * t / lt1, 1.0)) / math.log(base)
 
 
+def _without_named(dom: Dom) -> list[bool]:
+    """What is dropped, with the subtrees that their class or id names as furniture.
+
+    A name is only a sign: what holds most of the page's text stays, and inside an article so does
+    what has an unsure name but is neither thin nor mostly links.
+    """
+    n, parent, dropped = len(dom.tag), dom.parent, dom.dropped
+    if not any(dom.named):
+        return dropped
+    chars, link_chars, tags, linked, inside = [0] * n, [0] * n, [1] * n, [False] * n, [False] * n
+    for i in range(1, n):
+        linked[i] = linked[parent[i]] or dom.tag[i] == "a"
+        inside[i] = inside[parent[i]] or dom.tag[i] in ("article", "main")
+    for node, _, raw in dom.texts:
+        if not dropped[node]:
+            size = len(" ".join(raw.split()))
+            chars[node] += size
+            link_chars[node] += size * linked[node]
+    for i in range(n - 1, 0, -1):
+        if not dropped[i]:
+            chars[parent[i]] += chars[i]
+            link_chars[parent[i]] += link_chars[i]
+            tags[parent[i]] += tags[i]
+    out = list(dropped)
+    for i in range(1, n):
+        out[i] = out[i] or out[parent[i]]
+        if out[i] or not dom.named[i]:
+            continue
+        few_links = link_chars[i] < LINKED * chars[i]
+        stays = few_links and chars[i] >= HOLDS_MOST * chars[0]
+        stays = stays or (few_links and inside[i] and dom.named[i] == 1 and chars[i] >= THIN * tags[i])
+        out[i] = not stays
+    return out
+
+
 def main_text(page: str | None) -> tuple[str, int]:
     """The article's text and its number of blocks."""
     if not page:
         return "", 0
     dom = Dom(page)
-    n, tag, parent, dropped = len(dom.tag), dom.tag, dom.parent, dom.dropped
+    n, tag, parent, dropped = len(dom.tag), dom.tag, dom.parent, _without_named(dom)
     holds = [False] * n  # a node that holds the article is no furniture, whatever it is called
     for i in range(n - 1, 0, -1):
         if tag[i] in ("article", "main") or holds[i]:
             holds[parent[i]] = True
     if any(holds[i] and dropped[i] and tag[i] not in DROP_TAGS for i in range(n)):
-        dropped = [False] * n
-        named = dom.dropped
+        named, dropped = dropped, [False] * n
         for i in range(1, n):
             own = named[i] and not named[parent[i]]
             dropped[i] = dropped[parent[i]] or (tag[i] in DROP_TAGS) or (own and not holds[i])
