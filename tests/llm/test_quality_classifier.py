@@ -48,3 +48,12 @@ def test_edge_rows(spark):
     assert len(got) == 5 and len({r.score for r in got if r.doc_id == 2}) == 1
     empty = df.limit(0)
     assert c.score(empty, c.train(empty)).count() == 0
+
+
+def test_copies_do_not_reach_the_driver(spark, monkeypatch):
+    rows = [(i, None) for i in range(500)] + [(i, "the same plain words of a sentence here. " * 30) for i in range(500)] + [(0, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    collected, whole = [], type(df).toPandas
+    monkeypatch.setattr(type(df), "toPandas", lambda self: collected.append(whole(self)) or collected[-1])
+    c.train(df)
+    assert [len(x) for x in collected if "key" in x.columns] == [2]

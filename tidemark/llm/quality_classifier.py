@@ -195,10 +195,12 @@ def train(df: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -
                      pa.ListArray.from_arrays(cut, pa.array(index[order].astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(value[order].astype(np.float32)))],
                     ["key", "pattern", "index", "value"])
 
-    key = F.xxhash64("text")
-    chosen = texts.withColumn("key", key).where(F.pmod(key, F.lit(1 << 30)) < int(min(1.0, train_rows / total) * (1 << 30)))
+    # each text once before it is collected: its copies would all come to the driver
+    filled = texts.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    chosen = filled.where(F.pmod("key", F.lit(1 << 30)) < int(min(1.0, train_rows / total) * (1 << 30)))
+    chosen = chosen.groupBy("key").agg(F.first("text").alias("text")).select("text", "key")
     rows = chosen.mapInArrow(entries, "key long, pattern long, index array<int>, value array<float>").toPandas()
-    rows = rows.sort_values(["key", "pattern"]).drop_duplicates("key")
+    rows = rows.sort_values("key")
     posterior = dict(zip(patterns.tolist(), good.tolist(), strict=True))
     if len(rows):
         size = rows["index"].map(len).to_numpy()
