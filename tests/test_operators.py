@@ -180,3 +180,20 @@ def test_ids_stay_different_beyond_their_least_length(spark, tmp_path):
     blocks = spark.range(1005).selectExpr("'d' AS doc_id", "int(id) AS pos", "'image' AS block_type", "'x' AS text", "int(null) AS heading_level", "cast(null AS array<array<string>>) AS table_rows")
     chunks = [r.chunk_id for r in chunking.chunk_blocks(blocks).collect()]
     assert len(set(chunks)) == 1005 and {"d__ROOT__image__007", "d__ROOT__image__1000"} <= set(chunks)
+
+
+def test_every_line_item_has_its_rank(spark):
+    keys = pd.read_parquet("/root/testdata/sf0.01/lineitem.parquet")[["l_orderkey", "l_linenumber"]].drop_duplicates()
+    want = {f"{k}.{n}": i for i, (k, n) in enumerate(sorted(keys.itertuples(index=False, name=None)), 1)}
+    assert {r.path: r["rank"] for r in QUERIES["natural_sort_rank"](spark, "/root/testdata/sf0.01").collect()} == want
+
+
+def test_every_event_has_its_parent(spark):
+    events = pd.read_parquet("/root/testdata/sf0.001/events.parquet").sort_values(["ts", "event_id"])
+    want = []
+    for user, values in events.groupby("user_id").value:
+        levels = [1 + int(v // 1) % 4 for v in values]
+        for pos, level in enumerate(levels, 1):
+            want.append((user, pos, level, max((p for p, x in enumerate(levels[: pos - 1], 1) if x < level), default=None)))
+    got = [tuple(r) for r in QUERIES["parent_heading"](spark, "/root/testdata/sf0.001").collect()]
+    assert len(got) == len(events) and sorted(got, key=str) == sorted(want, key=str)

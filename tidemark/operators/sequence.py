@@ -52,3 +52,18 @@ def islands(spans: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
 def top(rows: DataFrame, by: list[str], order: list[Column | str], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each key, with their rank."""
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col(rank) <= k)
+
+
+def overall_rank(rows: DataFrame, first: Column, order: list[Column | str], width: int = 4096, rank: str = "rank") -> DataFrame:
+    """Rows with their place among all rows; first is the whole number that the order begins with.
+
+    Ranges of `width` numbers are ranked each for itself, and the rows of the ranges before are added: only
+    the ranges' counts meet in one task.
+    """
+    ranged = rows.withColumn("_range", F.floor(first / width))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)).cast("long")
+    placed = ranged.withColumn("_place", place).join(offsets, F.col("_range").eqNullSafe(F.col("_at")))
+    return placed.withColumn(rank, F.col("_place") + F.col("_before")).drop("_range", "_at", "_place", "_before")

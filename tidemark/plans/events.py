@@ -31,9 +31,10 @@ def dimension_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 y AS (SELECT * FROM x WHERE pos <= 30)
 SELECT user_id, pos, level, (SELECT max(p.pos) FROM y p WHERE p.user_id = y.user_id AND p.pos < y.pos AND p.level < y.level) AS parent_pos FROM y""")
 def parent_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parent of a heading: the last earlier one of a lower level (first 30 rows of a user)."""
+    """The parent of a heading: the last earlier one of a lower level."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (1 + F.floor("value") % 4).alias("level"))
-    rows = seq.top(rows, ["user_id"], ["ts", "event_id"], 30, "pos")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = rows.withColumn("pos", place.cast("long"))
     before = Window.partitionBy("user_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     parents = F.array(*[F.max(F.when(F.col("level") < above, F.col("pos"))).over(before) for above in range(1, 5)])
     return rows.select("user_id", "pos", "level", F.get(parents, (F.col("level") - 1).cast("int")).alias("parent_pos"))
@@ -51,11 +52,10 @@ def span_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT path, row_number() OVER (ORDER BY k, n) AS rank FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_orderkey::VARCHAR || '.' || l_linenumber::VARCHAR AS path FROM lineitem WHERE l_orderkey <= 200)""")
 def natural_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Section paths in the order of their numbers (orders up to 200, as one document)."""
-    paths = table(spark, sf_dir, "lineitem").where("l_orderkey <= 200").select(F.concat_ws(".", "l_orderkey", "l_linenumber").alias("path")).distinct()
-    numbers = F.transform(F.split("path", r"\."), lambda x: x.cast("long"))
-    ranked = paths.withColumn("doc", F.lit(1)).withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(numbers)).cast("long"))
-    return ranked.select("path", "rank")
+    """Section paths in the order of their numbers, all as one document."""
+    paths = table(spark, sf_dir, "lineitem").select(F.concat_ws(".", "l_orderkey", "l_linenumber").alias("path")).distinct()
+    paths = paths.withColumn("numbers", F.transform(F.split("path", r"\."), lambda x: x.cast("long")))
+    return seq.overall_rank(paths, F.get("numbers", 0), ["numbers"]).select("path", "rank")
 
 
 @query("SELECT event_type, round(avg(value), 1) AS avg_ms, sum((props::JSON ->> '$.k')::BIGINT)::BIGINT AS tokens, count(*) FILTER (event_type = 'error') AS n_errors FROM events GROUP BY event_type")
