@@ -46,7 +46,7 @@ def test_against_brute_force(spark):
     got = d.line_digest(df).collect()
     assert collections.Counter((r.doc_id, r.n_lines, r.n_removed, r.kept_sha256) for r in got) == brute(rows)
     runs = {r.doc_id: r.longest_run for r in got}
-    assert runs[101] == 32 and runs[203] == 2048 and runs[200] == 0
+    assert runs[101] == 40 and runs[203] == 2999 and runs[200] == 0
 
 
 def test_texts_and_columns(spark):
@@ -56,3 +56,31 @@ def test_texts_and_columns(spark):
     assert sorted(map(tuple, got.collect())) == [(1, rows[0][1], 5), (3, None, 7), (4, "keep", 8)]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert d.line_digest(empty).count() == 0 and d.without_repeated_lines(empty).count() == 0
+
+
+def exact_runs(docs):
+    """Place -> the longest run from there that also begins earlier, by comparing all places."""
+    places = sorted((i, k) for i, lines in docs.items() for k in range(len(lines)))
+    out = {}
+    for n, (i, k) in enumerate(places):
+        best = 0
+        for j, m in places[:n]:
+            d = 0
+            while k + d < len(docs[i]) and m + d < len(docs[j]) and docs[i][k + d] == docs[j][m + d]:
+                d += 1
+            best = max(best, d)
+        if best:
+            out[i, k] = best
+    return out
+
+
+def test_runs_are_exact(spark):
+    """Runs of any length, not only of powers of two, that overlap, nest and branch."""
+    rng = random.Random(5)
+    docs = {i: [rng.choice("ab" if i % 3 else "abcde") for _ in range(rng.randint(0, 14))] for i in range(40)}
+    long = [f"line {k}" for k in range(23)]
+    docs |= {50: long, 51: long[:19] + ["z"], 52: ["y", *long[2:13], "z"], 53: long, 54: long[5:] + long[:7]}
+    df = spark.createDataFrame([(i, "\n".join(x)) for i, x in docs.items()], "doc_id long, text string")
+    got = d.later_copies(df).collect()
+    assert len({(r.id, r.pos) for r in got}) == len(got)
+    assert {(r.id, r.pos): r.depth for r in got} == exact_runs(docs)
