@@ -122,9 +122,10 @@ def thresholds(counts: DataFrame, lang: str = "_lang", source: str = "_source")
     names = [f"hi_{r}" for r in RATIOS] + [f"lo_{r}" for r in TWO_SIDED]
     own = _quantiles(sketch, ["_lang", "_source"])
     by_lang = _quantiles(sketch, ["_lang"]).select("_lang", F.col("n").alias("n_lang"), *[F.col(x).alias(f"lang_{x}") for x in names])
-    overall = _quantiles(sketch.withColumn("_all", F.lit(1)), ["_all"]).select("_all", *[F.col(x).alias(f"all_{x}") for x in names])
-    joined = own.join(by_lang, "_lang").withColumn("_all", F.lit(1)).join(overall, "_all")
-    choose = lambda x: F.when(F.col("n") >= MIN_GROUP, F.col(x)).when(F.col("n_lang") >= MIN_GROUP, F.col(f"lang_{x}")).otherwise(F.col(f"all_{x}"))
+    overall = _quantiles(sketch.withColumn("_all", F.lit(1)), ["_all"]).first()  # a few numbers
+    joined = own.join(by_lang, "_lang")
+    every = lambda x: F.lit(overall[x] if overall else None)
+    choose = lambda x: F.when(F.col("n") >= MIN_GROUP, F.col(x)).when(F.col("n_lang") >= MIN_GROUP, F.col(f"lang_{x}")).otherwise(every(x).cast("double"))
     # written, so that the join reads a table of known size and a hot group can be split
     return scratch(counts.sparkSession, joined.select("_lang", "_source", *[choose(x).alias(x) for x in names]), "quality-limits")
 
@@ -152,12 +153,15 @@ def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of df that are kept, with its columns. Counts are taken twice, so that no text is shuffled."""
-    counts = with_counts(df.select(*_groups(df, lang, source), F.col(text_col).alias("_text")), F.col("_text")).drop("_text")
-    limits = thresholds(counts)
-    rows = with_counts(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *_groups(df, lang, source)), F.col(f"_row.{text_col}"))
-    kept = rows.where(~F.col("base_failed")).join(limits, ["_lang", "_source"]).where(within_limits())
-    return kept.select("_row.*")
+    """The rows of df that are kept, with its columns.
+
+    The rows that pass the base rules are written with their counts, so that nothing is counted twice and
+    no text is shuffled.
+    """
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *_groups(df, lang, source))
+    counted = scratch(df.sparkSession, with_counts(rows, F.col(f"_row.`{text_col}`")).where(~F.col("base_failed")), "quality-counted")
+    limits = thresholds(counted)
+    return counted.join(limits, ["_lang", "_source"]).where(within_limits()).select("_row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
