@@ -57,6 +57,28 @@ def test_contexts_find_unseen_identifiers(spark):
     assert all(got[i].n_phone == 1 and got[i].n_added == 0 for i in range(40))
 
 
+def test_accepted_instances_become_seeds(spark):
+    """Spaced phones and spelled-out addresses; those beside 'hotline' only are found by way of the first found ones."""
+    rng = random.Random(9)
+    filler = lambda: rng.choice(["please", "do", "then", "so", "if", "they"])
+    phone = lambda: f"+49 {rng.randint(100, 999)} {rng.randint(100000, 999999)}"
+    rows = [(i, f"{filler()} call telephone {phone()} today {filler()}") for i in range(60)]
+    rows += [(100 + i, f"{filler()} write mail a{i}.b@c{i}.org for {filler()}") for i in range(60)]
+    spaced = [f"0151 44{k:02} {rng.randint(10, 99)}" for k in range(30)]
+    rows += [(200 + i, f"{filler()} call telephone {x} today, or ask hotline {x} at night") for i, x in enumerate(spaced)]
+    rows += [(300, "or ask hotline (030) 55 12 34, at night"), (301, "write mail jane.doe(at)example.com for it"), (302, "write mail root@localhost for it")]
+    rows += [(400, "about 12 34 56 things in 2024"), (401, "the year 1999 and 3.5 percent")]
+    got = {r.doc_id: r for r in p.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[200].n_added == 2 and got[200].n_phone == 0
+    assert got[300].spans == "phone:15:29"
+    assert got[301].spans == "email:11:34" and got[302].spans == "email:11:25"
+    assert got[400].spans == got[401].spans == ""
+    planted = [i for i in got if 200 <= i < 400]
+    assert sum(got[i].n_added > 0 for i in planted) / len(planted) >= 0.9
+    one = p.bootstrap(p.mentions(p.F.broadcast(spark.createDataFrame(rows, "id long, _text string")).withColumn("text_hash", p.F.lit(0))), rounds=1)
+    assert not one.where("id = 300").count()
+
+
 def test_generated_documents(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: r for r in p.op3_private_data(spark, "/root/testdata/sf0.01").collect()}

@@ -2,12 +2,22 @@
 
 Base spans are what the four base patterns find, each kind from left to right without overlaps: mail
 addresses, IP addresses (parts up to 255), card numbers (16 to 19 digits that pass the Luhn test) and
-phone numbers (8 to 15 digits). They seed the method: the words left and right of the seeds are lexical
-patterns, the other tokens with four digits or more are instances of the same patterns. On the graph of
-patterns and instances, a pattern's confidence in a kind is the smoothed mean score of its instances, and
-an instance's score is the noisy-or of its patterns' confidences; `ROUNDS` rounds spread scores from the
-seeds. Patterns need `MIN_SEEDS` different seeds. Instances with a score of `ACCEPT` or more are added as
-spans of that kind, as long as they overlap no base span.
+phone numbers (8 to 15 digits). They are the first seeds. A round of the bootstrap then goes:
+
+1. The seeds induce lexical patterns: the word and the two words left of them, and the word right of them.
+   A pattern has the confidence of a kind by the share of that kind among the instances it has, smoothed;
+   it counts from `MIN_SEEDS` different seeds and a confidence of `MIN_CONFIDENCE` on.
+2. On the graph of patterns and instances, the score of an instance that is no seed is the noisy-or of the
+   confidences of its patterns. Instances of `ACCEPT` or more become seeds of their kind.
+
+With the new seeds the patterns are induced again, so that identifiers are found which stand beside no
+pattern of the first seeds. This goes on until no round changes the accepted ones, or `ROUNDS` times.
+Accepted instances are added as spans where one of their own patterns is trusted, as long as they overlap
+no base span.
+
+Instances are whatever may be an identifier: tokens of any length with a digit or an at sign, groups of
+digits with single spaces between them, and addresses whose at sign is spelled out in brackets. What has
+none of these is never an instance. Context words count with their `REACH` nearest characters.
 
 Offsets are code points, ends exclusive. Null or empty text has no spans. Rows that repeat id and text
 have the same result each. Only the id and text columns are read; an empty table gives no rows.
@@ -20,9 +30,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._common import scratch
 
-ROUNDS, MIN_SEEDS, SMOOTHING, ACCEPT = 3, 5, 2.0, 0.8
+ROUNDS, MIN_SEEDS, SMOOTHING, MIN_CONFIDENCE, ACCEPT = 6, 5, 2.0, 0.3, 0.8
+REACH = 80
 KINDS = ("email", "ip", "card", "phone")
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_GROUP = r"[(]?[0-9]++[)]?+(?:[./-][0-9]++)*+"
 #: The base patterns, written so that no text makes them recurse or start again inside a run: repeated
 #: parts are possessive (nothing after them could use what they give back), and a start inside a run of
 #: the leading class is only tried where the last match ended.
@@ -32,11 +44,14 @@ PATTERNS = {
     # shorter runs of digits cannot become cards; a longer one is matched whole and then dropped
     "card": r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9]){15}(?:[\x20-]?[0-9])*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # any other token of 6 to 64 characters with at least four digits
-    "token": r"(?<!\S)(?=(?:[^\s0-9]*+[0-9]){4})\S{6,64}(?!\S)",
+    # an address with its at sign in brackets, or spaced groups of digits, or any token with a digit or an at sign
+    "token": r"(?<!\S)(?:[^\s@\[\](){}<>,;:]++\x20?[\[({](?i:at)[\])}]\x20?[^\s@\[\](){}<>,;:]*[A-Za-z0-9]"
+             rf"|{_GROUP}(?:\x20{_GROUP})++(?!\w)"
+             r"|(?=[^\s0-9@]*+[0-9@])\S*[^\s.,;:!?)\]}\x22\x27])",
 }
-#: Texts without this are not searched.
-_GATES = {"email": "@", "ip": ".", "card": None, "phone": "+", "token": None}
+#: Other texts are not searched.
+_GATES = {"email": "instr({t}, '@') > 0", "ip": "instr({t}, '.') > 0", "card": "{t} rlike '[0-9]'", "phone": "instr({t}, '+') > 0",
+          "token": r"{t} rlike r'[0-9@]|[\[({{](?i:at)[\])}}]'"}
 _CHUNK = 512
 
 
@@ -58,15 +73,15 @@ def with_spans(df: DataFrame, text_col: str, kinds: tuple[str, ...]) -> DataFram
     names = [f"`{c}`" for c in df.columns]
     found = []
     for k in kinds:
-        gate = f"instr({text_col}, '{_GATES[k]}') > 0" if _GATES[k] else f"{text_col} rlike '[0-9]'"
+        gate = _GATES[k].format(t=text_col)
         found += [f"if({gate}, regexp_extract_all({text_col}, r'{PATTERNS[k]}', 0), array()) as _m_{k}"]
     step = df.selectExpr(*names, *found)
     # what lies between the matches gives their offsets; texts without a match are not split
     step = step.selectExpr("*", *[f"if(size(_m_{k}) > 0, split({text_col}, r'{PATTERNS[k]}', -1), array()) as _p_{k}" for k in kinds])
     step = step.selectExpr("*", *[f"zip_with(_p_{k}, _m_{k}, (p, m) -> bigint(length(p) + coalesce(length(m), 0))) as _s_{k}" for k in kinds])
-    # sums up to every _CHUNK-th match, so that a text with very many matches takes no quadratic time
-    step = step.selectExpr("*", *[
-        f"transform(sequence(0, size(_s_{k}) div {_CHUNK}), c -> aggregate(slice(_s_{k}, 1, int(c * {_CHUNK})), 0L, (a, x) -> a + x)) as _b_{k}" for k in kinds])
+    # sums of every _CHUNK matches, then of what comes before each chunk, so that very many matches take no quadratic time
+    step = step.selectExpr("*", *[f"transform(sequence(0, size(_s_{k}) div {_CHUNK}), c -> aggregate(slice(_s_{k}, int(c * {_CHUNK}) + 1, {_CHUNK}), 0L, (a, x) -> a + x)) as _q_{k}" for k in kinds])
+    step = step.selectExpr("*", *[f"transform(_q_{k}, (q, c) -> aggregate(slice(_q_{k}, 1, c), 0L, (a, x) -> a + x)) as _b_{k}" for k in kinds])
     spans = []
     for k in kinds:
         start = (f"get(_b_{k}, int(i div {_CHUNK})) + aggregate(slice(_s_{k}, int(i div {_CHUNK}) * {_CHUNK} + 1, i % {_CHUNK}), 0L, (a, x) -> a + x) "
@@ -81,13 +96,15 @@ def with_spans(df: DataFrame, text_col: str, kinds: tuple[str, ...]) -> DataFram
 def _context(kind: str, start: str, end: str) -> str:
     """The neighbouring words of a span, lower case, digits as 0, without punctuation at their ends."""
     clean = lambda word: f"regexp_replace(regexp_replace(lower({word}), '[0-9]+', '0'), r'^\\W+|\\W+$', '')"
-    left = f"regexp_extract(substring(_text, int(greatest({start} - 40, 0)) + 1, int(least({start}, 40))), r'(\\S+)\\s*$', 1)"
-    right = f"regexp_extract(substring(_text, int({end}) + 1, 40), r'^\\s*(\\S+)', 1)"
-    return f"struct({kind} as kind, {start} as start, {end} as end, substring(_text, int({start}) + 1, int({end} - {start})) as surface, {clean(left)} as l, {clean(right)} as r)"
+    before = f"substring(_text, int(greatest({start} - {REACH}, 0)) + 1, int(least({start}, {REACH})))"
+    left, two = rf"regexp_extract({before}, r'(\S+)\s*$', 1)", rf"regexp_extract({before}, r'(\S+\s+\S+)\s*$', 1)"
+    right = rf"regexp_extract(substring(_text, int({end}) + 1, {REACH}), r'^\s*(\S+)', 1)"
+    surface = f"substring(_text, int({start}) + 1, int({end} - {start}))"
+    return f"struct({kind} as kind, {start} as start, {end} as end, {surface} as surface, {clean(left)} as l, {clean(two)} as ll, {clean(right)} as r)"
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(id, text_hash, kind, start, end, surface, l, r): seeds with their kind, other tokens with kind ''."""
+    """(id, text_hash, kind, start, end, surface, l, ll, r): base spans with their kind, other instances with kind ''."""
     free = " and ".join(f"not exists({k}, b -> b.start < s.end and s.start < b.end)" for k in KINDS)
     seeds = ", ".join(f"transform({k}, s -> {_context(repr(k), 's.start', 's.end')})" for k in KINDS)
     others = f"transform(filter(token, s -> {free}), s -> {_context(repr(''), 's.start', 's.end')})"
@@ -95,34 +112,32 @@ def mentions(docs: DataFrame) -> DataFrame:
     return rows.selectExpr("id", "text_hash", f"explode(concat({seeds}, {others})) as _m").select("id", "text_hash", "_m.*")
 
 
-def bootstrap(found: DataFrame) -> DataFrame:
+def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(id, text_hash, kind, start, end) of the instances that the seeds' patterns vouch for."""
     spark = found.sparkSession
-    instance = ["surface"]
-    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("word")), F.struct(F.lit("r").alias("side"), F.col("r").alias("word"))))
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("word")) for side in ("l", "ll", "r")]))
     edges = found.select("surface", "kind", sides.alias("_p")).select("surface", "kind", "_p.side", "_p.word").where("word != ''").distinct()
     edges = scratch(spark, edges, "pii-edges")
-    support = edges.where("kind != ''").groupBy("side", "word", F.col("kind").alias("to")).agg(F.count(F.lit(1)).alias("seeds"))
-    size = edges.groupBy("side", "word").agg(F.count(F.lit(1)).alias("size"))
-    support = scratch(spark, support.where(F.col("seeds") >= MIN_SEEDS).join(size, ["side", "word"]), "pii-support")
-    unknown = scratch(spark, edges.where("kind = ''").select(*instance, "side", "word"), "pii-unknown")
-    confidence = support.select("side", "word", "to", (F.col("seeds") / (F.col("size") + SMOOTHING)).alias("confidence"))
-    scores = None
-    for _ in range(ROUNDS):
-        voted = unknown.join(confidence, ["side", "word"])
-        scores = voted.groupBy(*instance, "to").agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
-        scores = scratch(spark, scores, "pii-scores")
-        gained = unknown.join(scores, instance).groupBy("side", "word", "to").agg(F.sum("score").alias("gained"))
-        confidence = support.join(gained, ["side", "word", "to"], "left").select(
-            "side", "word", "to", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("size") + SMOOTHING)).alias("confidence"))
-        confidence = scratch(spark, confidence, "pii-confidence")
-    best = scores.where(F.col("score") >= ACCEPT).groupBy(*instance).agg(F.max_by("to", F.struct("score", "to")).alias("found"))
-    best = scratch(spark, best, "pii-best")
-    # an instance is taken where one of its own two patterns is trusted, not wherever its characters occur
-    trusted = confidence.where(F.col("confidence") >= ACCEPT / 2).select("side", "word", F.col("to").alias("found"))
-    places = found.where("kind = ''").join(best, "surface").select("id", "text_hash", "start", "end", "found", sides.alias("_p"))
-    places = places.select("id", "text_hash", "start", "end", "found", "_p.side", "_p.word").join(trusted, ["side", "word", "found"])
-    return places.select("id", "text_hash", F.col("found").alias("kind"), "start", "end").distinct()
+    size = scratch(spark, edges.groupBy("side", "word").agg(F.count(F.lit(1)).alias("size")), "pii-sizes")
+    given, open_ = edges.where("kind != ''").withColumnRenamed("kind", "to"), edges.where("kind = ''").drop("kind")
+    accepted, patterns, known = None, None, []
+    for _ in range(rounds):
+        seeds = given if accepted is None else given.unionByName(open_.join(accepted, "surface"))
+        support = seeds.groupBy("side", "word", "to").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
+        support = support.join(size, ["side", "word"]).select("side", "word", "to", (F.col("seeds") / (F.col("size") + SMOOTHING)).alias("confidence"))
+        patterns = scratch(spark, support.where(F.col("confidence") >= MIN_CONFIDENCE), "pii-patterns")
+        score = 1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))
+        scores = open_.join(patterns, ["side", "word"]).groupBy("surface", "to").agg(score.alias("score")).where(F.col("score") >= ACCEPT)
+        accepted = scratch(spark, scores.groupBy("surface").agg(F.max_by("to", F.struct("score", "to")).alias("to")), "pii-accepted")
+        state = accepted.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("surface", "to")).alias("mark")).first()
+        if state in known:
+            break
+        known.append(state)
+    # an instance is taken where one of its own patterns is trusted, not wherever its characters occur
+    trusted = patterns.where(F.col("confidence") >= ACCEPT / 2).drop("confidence")
+    places = found.where("kind = ''").join(accepted, "surface").select("id", "text_hash", "start", "end", "to", sides.alias("_p"))
+    places = places.select("id", "text_hash", "start", "end", "to", "_p.side", "_p.word").join(trusted, ["side", "word", "to"])
+    return places.select("id", "text_hash", F.col("to").alias("kind"), "start", "end").distinct()
 
 
 def _listed(spans: Column) -> Column:
