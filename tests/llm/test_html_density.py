@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from tidemark.llm import html_density as d
 from tidemark.llm.html_density import extract_text, main_text
 
 ARTICLE = (
@@ -89,3 +90,44 @@ def test_edge_rows(spark):
     got = sorted(((r.page_id, r.text, r.n_chars) for r in extract_text(df).collect()), key=str)
     assert got == [(1, "", 0), (1, "hi there", 8), (None, "", 0)]
     assert extract_text(df.limit(0)).count() == 0
+
+
+WORDS = "the river rose in the night and took the lower road with it so that nobody came to the market"
+
+
+def unmarked_page(links=60, boxes=40):
+    """No article, no telling names: a list of links, short boxes, the story, and more boxes."""
+    farm = "".join(f"<li><a href='/{k}'>read more about item number {k}</a></li>" for k in range(links))
+    shop = "".join(f"<div><span>item {k}</span><b>{k}.99</b></div>" for k in range(boxes))
+    story = [f"{WORDS} {k}" for k in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in story)
+    page = f"<html><body><div><ul>{farm}</ul></div><div><div><h2>A flood</h2>{body}<p>So it was.</p></div><div>{shop}</div></div></body></html>"
+    return page, "\n".join(["A flood", *story, "So it was."])
+
+
+def test_density_alone_chooses():
+    page, want = unmarked_page()
+    assert d.main_text(page)[0] == want
+    # without the density, or without what it takes from links, the choice is another
+    assert d.main_text(page, lambda *counts: 1.0)[0] != want
+    no_links = lambda c, t, lc, lt, ratio: d._log_ratio(c, t, 0, 0, ratio)
+    farm = f"<html><body><div>{''.join(f'<p><a href=x>{WORDS} {k}</a></p>' for k in range(9))}</div><div>{''.join(f'<p>{WORDS} {k}!</p>' for k in range(5))}</div></body></html>"
+    assert "!" in d.main_text(farm)[0] and "market 8" not in d.main_text(farm)[0]
+    assert "market 8" in d.main_text(farm, no_links)[0]
+
+
+def test_names_are_matched_whole():
+    for name in ("side-by-side", "has-sidebar wide", "comments-open", "related-work", "notice-board"):
+        page = f"<body><p>{WORDS}.</p><div class='{name}'><p>{WORDS}!</p></div></body>"
+        assert d.main_text(page)[0] == f"{WORDS}.\n{WORDS}!", name
+    for name in ("sidebar", "site-footer", "ad-banner", "comment-list", "cookie notice", "sidebar-left"):
+        page = f"<body><div><p>{WORDS}.</p><p>{WORDS}?</p></div><div class='{name}'><p>{WORDS}!</p></div></body>"
+        assert d.main_text(page)[0] == f"{WORDS}.\n{WORDS}?", name
+    for attr in ("title='the hidden gem'", "data-id='share'", "data-hidden-count='3'"):
+        assert d.main_text(f"<body><div {attr}><p>{WORDS}</p></div></body>")[0] == WORDS
+
+
+def test_parts_of_one_article():
+    parts = [f"<div><p>{WORDS} {k}.</p>{'<p>Short.</p>' * (k % 3)}</div>" for k in range(5)]
+    text = d.main_text(f"<body><div><a href=x>home</a></div>{''.join(parts)}</body>")[0]
+    assert all(f"market {k}." in text for k in range(5)) and text.count("Short.") == 4

@@ -3,10 +3,12 @@
 Each page is parsed into a DOM. Subtrees that the markup itself names as furniture (menus, page headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden nodes) are left out.
 Every other node gets its composite density: characters per tag, adjusted by the share of its characters
-and tags in links and by the page's own share. A node's density sum adds up the densities of its
-children; the node with the largest sum is the core of the article, and the lowest density on the way
-from it to the body is the threshold: from the body down, each subtree that stays at or above it gives
-its largest-sum part. Where that core lies in an article or main element, the whole element is taken.
+and tags in links and by the page's own share. The density sum of a block adds up the densities of its
+child blocks and of the text that lies in it directly; the block with the largest sum is the core of the
+article, and the lowest density on the way from it to the body is the threshold: from the body down, each
+subtree that stays at or above it gives its largest-sum block. A block of which the chosen ones hold
+`LIFT` of the text or more, while the rest is not mostly links, is taken whole with its headings and short
+paragraphs, up to the body. No element is chosen by its name.
 
 Null or empty html gives the empty text. Unclosed, misnested or truncated markup is closed as a browser
 would; a page without markup is one text. Rows are independent and kept as they are, repeated ones too.
@@ -15,7 +17,7 @@ would; a page without markup is one text. Rows are independent and kept as they
 import html as entities
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -63,8 +65,17 @@ UNSURE_WORDS = frozenset(
     "side sidebar aside notice notices disclaimer alert related recommended recommendations share sharing social promo "
     "banner overlay modal popup skip toolbar copyright sponsor sponsored widget widgets consent subscription".split()
 )
+#: Words that only say where or how, so that a name made of them and words of furniture is one of furniture.
+NEUTRAL_WORDS = frozenset(
+    "area bar block bottom box button center column container content fixed global group header home inner item items left "
+    "link links list main mobile outer page panel post primary right row secondary section site small sticky text the title top wrap wrapper".split()
+)
 #: A named subtree with this share of the page's text stays; one is mostly links, or thin, from here.
 HOLDS_MOST, LINKED, THIN = 0.5, 0.3, 12.0
+#: A block is taken whole from this share of its text in what was chosen.
+LIFT = 0.75
+#: Parts of one article differ in density: the threshold is this share of the lowest on the path.
+SLACK = 0.6
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NO_DISPLAY = re.compile(r"(?i)display\s*:\s*none")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -84,9 +95,15 @@ def _is_hidden(attrs: dict[str, str]) -> bool:
 
 
 def _named(attrs: dict[str, str]) -> int:
-    """2 where class or id has a word of furniture, 1 where it only has words that are unsure, else 0."""
-    words = {w.lower() for name in ("class", "id") for w in _WORDS.findall(attrs.get(name, ""))} & DROP_WORDS
-    return 2 if words - UNSURE_WORDS else int(bool(words))
+    """How far class and id name furniture: 3 surely, 2 by an unsure word, 1 by a word among other words, 0 not."""
+    level = 0
+    for token in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = {w.lower() for w in _WORDS.findall(token)}
+        named = words & DROP_WORDS
+        if named:
+            plain = words <= DROP_WORDS | NEUTRAL_WORDS
+            level = max(level, (3 if named - UNSURE_WORDS else 2) if plain else 1)
+    return level
 
 
 def _has_drop_role(attrs: dict[str, str]) -> bool:
@@ -188,8 +205,8 @@ def _log_ratio(c: float, t: float, lc: float, lt: float, body_ratio: float) -> f
 def _without_named(dom: Dom) -> list[bool]:
     """What is dropped, with the subtrees that their class or id names as furniture.
 
-    A name is only a sign: what holds most of the page's text stays, and inside an article so does
-    what has an unsure name but is neither thin nor mostly links.
+    A name is only a sign: what holds most of the page's text stays, and so does what is neither thin nor
+    mostly links where the word is one among others, or an unsure one inside an article.
     """
     n, parent, dropped = len(dom.tag), dom.parent, dom.dropped
     if not any(dom.named):
@@ -215,12 +232,86 @@ def _without_named(dom: Dom) -> list[bool]:
             continue
         few_links = link_chars[i] < LINKED * chars[i]
         stays = few_links and chars[i] >= HOLDS_MOST * chars[0]
-        stays = stays or (few_links and inside[i] and dom.named[i] == 1 and chars[i] >= THIN * tags[i])
+        maybe = dom.named[i] == 1 or (dom.named[i] == 2 and inside[i])
+        stays = stays or (few_links and maybe and chars[i] >= THIN * tags[i])
         out[i] = not stays
     return out
 
 
-def main_text(page: str | None) -> tuple[str, int]:
+def _chosen(dom: Dom, dropped: list[bool], texts: list[tuple[int, int, str]], density_of: Callable[..., float]) -> list[bool]:
+    """The nodes of the subtrees that the densities choose."""
+    n, tag, parent = len(dom.tag), dom.tag, dom.parent
+    is_block = [i == 0 or tag[i] in BLOCK for i in range(n)]
+    linked, owner = [False] * n, list(range(n))  # the block in which a node's text lies directly
+    # of whole subtrees: characters, tags, and both in links; the same of what lies in a block directly
+    total, own = [[0] * 4 for _ in range(n)], [[0] * 4 for _ in range(n)]
+    for i in range(n):
+        if i:
+            linked[i] = linked[parent[i]] or tag[i] == "a"
+            owner[i] = i if is_block[i] else owner[parent[i]]
+        total[i][1] = 1
+        if tag[i] == "a":
+            total[i][3] = 1
+        if not dropped[i]:
+            own[owner[i]][1] += 1
+            own[owner[i]][3] += tag[i] == "a"
+    for node, _, text in texts:
+        size = len(" ".join(text.split()))
+        for counts in (total[node], own[owner[node]]):
+            counts[0] += size
+            counts[2] += size * linked[node]
+    for i in range(n - 1, 0, -1):
+        if not dropped[i]:
+            into = total[parent[i]]
+            for k in range(4):
+                into[k] += total[i][k]
+    root = next((i for i in range(n) if tag[i] == "body"), 0)
+    ratio = max(total[root][2], 1) / max(total[root][0], 1)
+    density, sums = [0.0] * n, [0.0] * n
+    for i in range(n - 1, -1, -1):
+        if dropped[i] or not is_block[i] or not total[i][0]:
+            continue
+        density[i] = density_of(*total[i], ratio)
+        if own[i][0]:
+            sums[i] += density_of(*own[i], ratio)
+        if i:
+            sums[owner[parent[i]]] += density[i]
+    best = list(range(n))
+    for i in range(n - 1, root, -1):
+        above = owner[parent[i]]
+        if not dropped[i] and is_block[i] and sums[best[i]] > sums[best[above]]:
+            best[above] = best[i]
+    path, i = [], best[root]
+    while i > root:
+        path.append(i)
+        i = owner[parent[i]]
+    threshold = SLACK * min((density[i] for i in path), default=density[root]) - 1e-9
+    taken, reached = [False] * n, [False] * n
+    for i in range(root, n):
+        if dropped[i] or not is_block[i]:
+            continue
+        reached[i] = i == root or (density[i] >= threshold and reached[owner[parent[i]]])
+        if reached[i] and total[i][0] and density[i] >= threshold:
+            taken[best[i]] = True
+    taken[best[root]] = True
+    # what the chosen ones hold of each block: characters, and those in links
+    held = [[0, 0] for _ in range(n)]
+    for i in range(n - 1, root, -1):
+        if dropped[i]:
+            continue
+        rest, links = total[i][0] - held[i][0], total[i][2] - held[i][1]
+        if not taken[i] and is_block[i] and total[i][0] and held[i][0] >= LIFT * total[i][0] and links <= LINKED * rest:
+            taken[i] = True
+        if taken[i]:
+            held[i] = [total[i][0], total[i][2]]
+        held[parent[i]][0] += held[i][0]
+        held[parent[i]][1] += held[i][1]
+    for i in range(1, n):
+        taken[i] = taken[i] or taken[parent[i]]
+    return taken
+
+
+def main_text(page: str | None, density_of: Callable[..., float] = _log_ratio) -> tuple[str, int]:
     """The article's text and its number of blocks."""
     if not page:
         return "", 0
@@ -235,58 +326,8 @@ def main_text(page: str | None) -> tuple[str, int]:
         for i in range(1, n):
             own = named[i] and not named[parent[i]]
             dropped[i] = dropped[parent[i]] or (tag[i] in DROP_TAGS) or (own and not holds[i])
-    chars, tags, link_chars, link_tags = [0] * n, [1] * n, [0] * n, [0] * n
-    linked = [False] * n
-    for i in range(1, n):
-        linked[i] = linked[parent[i]] or tag[i] == "a"
-    texts = []
-    for node, block, raw in dom.texts:
-        if dropped[node]:
-            continue
-        text = entities.unescape(raw) if "&" in raw else raw
-        texts.append((node, block, text))
-        size = len(" ".join(text.split()))
-        chars[node] += size
-        if linked[node]:
-            link_chars[node] += size
-    for i in range(n - 1, 0, -1):
-        if dropped[i]:
-            continue
-        p = parent[i]
-        chars[p] += chars[i]
-        tags[p] += tags[i]
-        link_chars[p] += link_chars[i]
-        link_tags[p] += link_tags[i] + (tag[i] == "a")
-    root = next((i for i in range(n) if tag[i] == "body"), 0)
-    ratio = max(link_chars[root], 1) / max(chars[root], 1)
-    density, sums = [0.0] * n, [0.0] * n
-    for i in range(n - 1, -1, -1):
-        if not dropped[i] and chars[i]:
-            density[i] = _log_ratio(chars[i], tags[i], link_chars[i], link_tags[i] + (tag[i] == "a"), ratio)
-            if i:
-                sums[parent[i]] += density[i]
-    best = list(range(n))
-    for i in range(n - 1, 0, -1):
-        if not dropped[i] and sums[best[i]] > sums[best[parent[i]]]:
-            best[parent[i]] = best[i]
-    core = best[root]
-    path, i = [], core
-    while i > root:
-        path.append(i)
-        i = parent[i]
-    threshold = min(density[i] for i in [*path, root]) - 1e-9
-    taken = [False] * n
-    reached = [False] * n
-    for i in range(root, n):
-        reached[i] = not dropped[i] and density[i] >= threshold and (i == root or reached[parent[i]])
-        if reached[i] and chars[i]:
-            taken[best[i]] = True
-    whole = [i for i in path if tag[i] in ("article", "main")]
-    if whole:
-        taken = [False] * n
-        taken[whole[-1]] = True
-    for i in range(1, n):
-        taken[i] = taken[i] or taken[parent[i]]
+    texts = [(node, block, entities.unescape(raw) if "&" in raw else raw) for node, block, raw in dom.texts if not dropped[node]]
+    taken = _chosen(dom, dropped, texts, density_of)
     blocks: dict[int, list[str]] = {}
     for node, block, text in texts:
         if taken[node]:
