@@ -98,14 +98,15 @@ def later_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         ranks = levels[u].select("id", "text_hash", F.col("pos").alias("at"), F.col("rank").alias("r"))
         seen = items.join(ranks, items["id"].eqNullSafe(ranks["id"]) & (items["text_hash"] == ranks["text_hash"]) & (items["pos"] + items["depth"] == ranks["at"]), "left")
         seen = seen.select(*[items[c] for c in (*_PLACE, "g", "h", "depth")], "r")
-        groups = _first(seen.where("r is not null"), ["g", "h", "r"])
+        # written, so that the join reads both sides from shuffles and a group of very many places can be split
+        groups = scratch(spark, _first(seen.where("r is not null"), ["g", "h", "r"]), f"lines-groups-{2**u}")
         dealt = seen.join(groups, ["g", "h", "r"], "left")
         stays = dealt.where("first is null or first = struct(id, text_hash, pos)").select(*_PLACE, "g", "h", "depth")
         goes = dealt.where("first is not null").select(
             *_PLACE, F.xxhash64("g", "h", "r", F.lit(u)).alias("g"), F.xxhash64(F.lit(u), "r", "h", "g").alias("h"), (F.col("depth") + 2**u).alias("depth"))
         items = scratch(spark, stays.unionByName(goes), f"lines-dealt-{2**u}")
     if items is not None:
-        later = items.join(_first(items, ["g", "h"]), ["g", "h"]).where(_is_later())
+        later = items.join(scratch(spark, _first(items, ["g", "h"]), "lines-firsts"), ["g", "h"]).where(_is_later())
         exact.append(later.select(*_PLACE, "depth", F.lit(True).alias("long")))
     return reduce(lambda a, b: a.unionByName(b), exact)
 
