@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +14,8 @@ from tidemark.operators.sequence import top
 
 #: Rank fusion: score is the sum of 1 / (RRF_K + rank).
 RRF_K = 60
+#: A stated query set goes to the tasks in blocks of so many characters of phrases, or vectors.
+BLOCK_CHARS, BLOCK_VECTORS = 4 << 20, 4096
 
 
 def tokens(text: Column, least: int = 3) -> Column:
@@ -26,19 +33,47 @@ def trigram_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return letters.where(F.size("_c") >= 3).select(key, F.explode(F.array_distinct(grams)).alias("gram")).where(F.length("gram") == 3)
 
 
-def contains_search(queries: DataFrame, docs: DataFrame, index: DataFrame, q: str, phrase: str, key: str, text: str) -> DataFrame:
+def _blocks(queries: DataFrame, size: Column, limit: int) -> list[DataFrame]:
+    """A stated query set in blocks of about `limit`, each small enough to be sent to every task."""
+    total = queries.agg(F.sum(size)).first()[0] or 0
+    n = max(1, -(-int(total) // limit))
+    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(*queries.columns), F.lit(n)) == i) for i in range(n)]
+
+
+def contains_search(queries: DataFrame, docs: DataFrame, q: str, phrase: str, key: str, text: str) -> DataFrame:
     """(q, key): documents that hold a query's phrase, in any case.
 
-    The phrase's rarest trigram in the index names the candidates, a test of the text decides. A phrase of
-    under three characters is not searched.
+    The stated phrases go in blocks of `BLOCK_CHARS` to all tasks, and one automaton of a block finds all its
+    phrases in one pass over each text, so that nothing of the corpus is shuffled. A phrase of under three
+    characters is not searched.
     """
-    grams = trigram_index(queries, q, phrase).join(queries.select(q, phrase), q)
-    frequency = index.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    # a trigram that no text has rules its phrase out
-    weighed = grams.join(frequency, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = weighed.groupBy(q, phrase).agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"), F.min("df").alias("df")).where("df > 0")
-    candidates = rarest.join(index, "gram").select(q, phrase, key)
-    return candidates.join(docs.select(key, text), key).where(F.lower(text).contains(F.lower(phrase))).select(q, key)
+    wanted = queries.select(q, F.lower(phrase).alias("_p")).where(F.length("_p") >= 3)
+    ddl = f"{q} {wanted.schema[q].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}"
+    out = None
+    for block in _blocks(wanted, F.length("_p"), BLOCK_CHARS):
+        names: dict[str, list] = {}
+        for ident, p in block.collect():  # at most a block
+            names.setdefault(p, []).append(ident)
+        out = _found(docs.select(key, F.lower(text).alias("_t")), names, ddl) if out is None else out.unionByName(_found(docs.select(key, F.lower(text).alias("_t")), names, ddl))
+    return out
+
+
+def _found(docs: DataFrame, names: dict[str, list], ddl: str) -> DataFrame:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for p in names:
+            automaton.add_word(p, p)
+        if names:
+            automaton.make_automaton()
+        for frame in batches:
+            ids, keys = [], []
+            for ident, content in frame.itertuples(index=False):
+                for p in {p for _, p in automaton.iter(content)} if names and content else ():
+                    ids += names[p]
+                    keys += [ident] * len(names[p])
+            yield pd.DataFrame({x.split()[0]: v for x, v in zip(ddl.split(", "), (ids, keys), strict=True)})
+
+    return docs.mapInPandas(scan, ddl)
 
 
 def bm25(queries: DataFrame, docs: DataFrame, q: str, query_text: str, key: str, text: str, k: int, k1: float = 1.2, b: float = 0.75, places: int = 6) -> DataFrame:
@@ -65,14 +100,54 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, q: str, query_vector: str, key: str, vector: str, k: int, places: int = 6) -> DataFrame:
-    """(q, key, score, rank): the k nearest vectors by cosine. A stated set of queries against all rows.
+def dense_topk(queries: DataFrame, vectors: DataFrame, q: str, query_vector: str, key: str, vector: str, k: int, places: int = 6, label: str | None = None) -> DataFrame:
+    """(q, key, score, rank): the k nearest vectors by cosine, on request of the query's label only.
 
-    Partial top-k per part of the vectors first, so that the final ranking sees k rows of each part only.
+    The stated queries go in blocks of `BLOCK_VECTORS` to all tasks; a task keeps the k best of its rows for
+    each query, and the final ranking sees only these.
     """
-    scored = vectors.crossJoin(queries).where(F.col(key) != F.col(q)).select(q, key, F.round(cosine(F.col(query_vector), F.col(vector)), places).alias("score"), F.spark_partition_id().alias("_part"))
-    best = top(scored, [q, "_part"], [F.desc("score"), key], k, "_r").drop("_r", "_part")
-    return top(best, [q], [F.desc("score"), key], k)
+    labels = [] if label is None else [label]
+    ddl = f"{q} {queries.schema[q].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
+    rows = vectors.select(key, vector, *labels)
+    out = None
+    for block in _blocks(queries.select(q, query_vector, *labels), F.lit(1), BLOCK_VECTORS):
+        stated = block.toPandas()  # at most a block
+        part = rows.mapInPandas(_nearest(stated, [q, key, "score"], k, places, bool(label)), ddl)
+        out = part if out is None else out.unionByName(part)
+    return top(out, [q], [F.desc("score"), key], k)
+
+
+def _nearest(stated: pd.DataFrame, columns: list[str], k: int, places: int, labelled: bool):
+    names = stated.iloc[:, 0].to_numpy()
+    size = len(stated)
+
+    def unit(column: pd.Series) -> np.ndarray:
+        matrix = np.array(column.tolist(), dtype=np.float64).reshape(len(column), -1)
+        length = np.sqrt((matrix**2).sum(axis=1, keepdims=True))
+        return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = unit(stated.iloc[:, 1]) if size else None
+        best: list[list[tuple]] = [[] for _ in range(size)]
+        for frame in batches:
+            if not size or not len(frame):
+                continue
+            keys = frame.iloc[:, 0].to_numpy()
+            scores = np.round(wanted @ unit(frame.iloc[:, 1]).T, places)
+            for i in range(size):
+                fits = keys != names[i]
+                if labelled:
+                    fits &= frame.iloc[:, 2].to_numpy() == stated.iloc[i, 2]
+                at = np.flatnonzero(fits)
+                if len(at) > k:
+                    least = np.partition(scores[i, at], len(at) - k)[len(at) - k]
+                    at = at[scores[i, at] >= least]
+                found = best[i] + [(-float(scores[i, j]), keys[j].item()) for j in at]
+                best[i] = sorted(found)[:k]
+        rows = [(names[i].item(), key, -score) for i, found in enumerate(best) for score, key in found]
+        yield pd.DataFrame(rows, columns=columns)
+
+    return scan
 
 
 def fuse(legs: list[DataFrame], q: str, key: str, k: int, weights: list[float] | None = None, places: int = 9) -> DataFrame:

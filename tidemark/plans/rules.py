@@ -9,8 +9,8 @@ from tidemark.operators import folds
 from tidemark.queries import query
 from tidemark.session import table
 
-_RATERS = """a AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS verdict, 10 + doc_id % 3 AS score, 40 + doc_id % 60 AS confidence FROM labels WHERE doc_id % 7 <> 0),
-b AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'partial' WHEN doc_id % 5 = 0 THEN 'uncertain' WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS verdict, 8 + doc_id % 4 AS score, 45 + doc_id % 50 AS confidence FROM labels WHERE doc_id % 11 <> 0),
+_RATERS = """a AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS verdict, 10 + doc_id % 3 AS score, 40 + doc_id % 60 AS confidence FROM labels),
+b AS (SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'partial' WHEN lang = 'fr' THEN 'uncertain' WHEN n_chars > 300 THEN 'pass' ELSE 'fail' END AS verdict, 8 + doc_id % 4 AS score, 45 + doc_id % 50 AS confidence FROM documents WHERE n_chars >= 200),
 m AS (SELECT doc_id, a.verdict AS av, b.verdict AS bv, a.score AS asc_, b.score AS bsc, a.confidence AS ac, b.confidence AS bc,
 CASE a.verdict WHEN 'fail' THEN 3 WHEN 'partial' THEN 2 WHEN 'uncertain' THEN 1 ELSE 0 END >= CASE b.verdict WHEN 'fail' THEN 3 WHEN 'partial' THEN 2 WHEN 'uncertain' THEN 1 ELSE 0 END AS a_first
 FROM a FULL JOIN b USING (doc_id)),
@@ -23,9 +23,11 @@ CASE WHEN bv IS NULL THEN 'a_only' WHEN av IS NULL THEN 'b_only' WHEN av = bv TH
 def _raters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, i = table(spark, sf_dir, "labels"), F.col("doc_id")
     good = F.col("quality") == 1
-    a = labels.where(i % 7 != 0).select("doc_id", F.when(good, "pass").otherwise("fail").alias("verdict"), (10 + i % 3).alias("score"), (40 + i % 60).alias("confidence"))
-    verdict = F.when(F.col("toxic") == 1, "partial").when(i % 5 == 0, "uncertain").when(good, "pass").otherwise("fail")
-    b = labels.where(i % 11 != 0).select("doc_id", verdict.alias("verdict"), (8 + i % 4).alias("score"), (45 + i % 50).alias("confidence"))
+    a = labels.select("doc_id", F.when(good, "pass").otherwise("fail").alias("verdict"), (10 + i % 3).alias("score"), (40 + i % 60).alias("confidence"))
+    # the second rater says nothing about very short documents, and the first has seen labelled ones only
+    n = F.col("n_chars")
+    verdict = F.when(n > 5000, "partial").when(F.col("lang") == "fr", "uncertain").when(n > 300, "pass").otherwise("fail")
+    b = table(spark, sf_dir, "documents").where(n >= 200).select("doc_id", verdict.alias("verdict"), (8 + i % 4).alias("score"), (45 + i % 50).alias("confidence"))
     return folds.merge_raters(a, b, ["doc_id"])
 
 
@@ -64,11 +66,11 @@ def verdict_is_problem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN s_suppkey IS NULL THEN 'untraceable' WHEN s_acctbal < 0 THEN 'superseded' WHEN year(l_shipdate) < 1992 + s_nationkey % 4 THEN 'older' ELSE 'current' END AS kind,
 CASE WHEN s_suppkey IS NULL THEN 'low' WHEN s_acctbal < 0 THEN 'high' WHEN year(l_shipdate) < 1992 + s_nationkey % 4 THEN 'medium' END AS severity
-FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 5 <> 0) ON s_suppkey = l_suppkey""")
+FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey + l_linenumber""")
 def version_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations against versions: unknown ones are untraceable, others superseded, older or current."""
-    versions = table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal", "s_nationkey", F.lit(True).alias("known"))
-    cited = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate").join(versions, "l_suppkey", "left")
+    versions = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cited"), "s_acctbal", "s_nationkey", F.lit(True).alias("known"))
+    cited = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") + F.col("l_linenumber")).alias("cited"), "l_shipdate").join(versions, "cited", "left")
     older = F.year("l_shipdate") < 1992 + F.col("s_nationkey") % 4
     kind = F.when(F.col("known").isNull(), "untraceable").when(F.col("s_acctbal") < 0, "superseded").when(older, "older").otherwise("current")
     rows = cited.select("l_orderkey", "l_linenumber", kind.alias("kind"))

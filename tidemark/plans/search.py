@@ -5,47 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import retrieval
 from tidemark.operators import search as s
-from tidemark.operators.sequence import top
 from tidemark.queries import query
 from tidemark.session import table
 
-_PROBE = "substring(text, 1, 60)"
-
-
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("phrase"), F.col("text").alias("item_text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
 
 
-@query(f"SELECT item_id, doc_id FROM (SELECT item_id, {_PROBE} AS phrase FROM benchmark) b JOIN documents d ON contains(lower(d.text), lower(b.phrase))")
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
 def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the first sixty characters of an item, found by the trigram index."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return s.contains_search(_items(spark, sf_dir), docs, s.trigram_index(docs, "doc_id", "text"), "item_id", "phrase", "doc_id", "text")
+    """Documents that hold a whole item."""
+    return s.contains_search(_items(spark, sf_dir), table(spark, sf_dir, "documents"), "item_id", "phrase", "doc_id", "text")
 
 
-@query(f"""WITH q AS (SELECT item_id, substring(text, 1, 25) AS q FROM benchmark),
-t AS (SELECT item_id, list_distinct(list_filter(string_split_regex(q, '\\s+'), lambda w: length(w) >= 6)) AS words FROM q),
-h AS (SELECT item_id, doc_id, len(list_filter(words, lambda w: contains(lower(d.text), lower(w)))) AS hits FROM t, documents d)
-SELECT item_id, doc_id, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS rank FROM h WHERE hits > 0) WHERE rank <= 10""")
+@query(r"""WITH t AS (SELECT item_id, list_distinct(list_filter(string_split_regex(text, '\s+'), lambda w: length(w) >= 3 AND upper(w) NOT IN ('OR', 'AND', 'NOT'))) AS words FROM benchmark),
+h AS (SELECT item_id, doc_id FROM t, documents d WHERE len(list_filter(words, lambda w: contains(lower(d.text), lower(w)))) > 0)
+SELECT item_id, doc_id, false AS fallback, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM h) WHERE rank <= 10""")
 def substr_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a word of the query as a substring, by number of words, ten for each item."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.filter(F.split(F.substring("text", 1, 25), r"\s+"), lambda w: F.length(w) >= 6))).alias("word"))
-    found = s.contains_search(words.select("word").distinct().withColumn("w", F.col("word")), docs, s.trigram_index(docs, "doc_id", "text"), "w", "word", "doc_id", "text")
-    hits = words.join(found, words["word"] == found["w"]).groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
-    return top(hits, ["item_id"], [F.desc("hits"), "doc_id"], 10).select("item_id", "doc_id", "rank")
+    """The first ten documents that hold any token of an item as a substring; items without hits are searched whole."""
+    return retrieval.token_search(_items(spark, sf_dir), table(spark, sf_dir, "documents"), "item_id", "phrase", "doc_id", "text", 10)
 
 
 @query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents), st AS (SELECT count(*) AS n, avg(len(ws)) AS avg_len FROM d),
-q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(substring(text, 1, 60)), '[\p{L}\p{N}]+'))) AS term FROM benchmark),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS term FROM benchmark),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 s AS (SELECT item_id, tf.doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(ws) / avg_len))), 6) AS score
 FROM q JOIN df USING (term) JOIN tf USING (term) JOIN d ON d.doc_id = tf.doc_id, st GROUP BY ALL)
 SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def token_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents for the start of each item by BM25."""
+    """The ten best documents for each item by BM25."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return s.bm25(_items(spark, sf_dir), docs, "item_id", "phrase", "doc_id", "text", 10)
 
@@ -75,8 +66,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of the same label fused with all neighbours."""
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vector"), F.col("label").alias("q_label"))
-    same = queries.join(vectors.withColumnRenamed("label", "q_label"), "q_label").where("q_id <> vec_id")
-    same = top(same.select("q_id", "vec_id", F.round(s.cosine(F.col("q_vector"), F.col("embedding")), 6).alias("score")), ["q_id"], [F.desc("score"), "vec_id"], 10)
+    same = s.dense_topk(queries.withColumnRenamed("q_label", "label"), vectors, "q_id", "q_vector", "vec_id", "embedding", 10, label="label")
     return s.fuse([same, _dense(spark, sf_dir, 10)], "q_id", "vec_id", 5)
 
 
@@ -88,10 +78,14 @@ def fallback_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.prefer_filtered(ranked, "q_id", F.col("label") == F.col("q_label")).select("q_id", "vec_id", "rank")
 
 
-@query(f"""SELECT item_id, count(d.doc_id) AS n_docs, min(d.doc_id) AS first_doc, count(d.doc_id) > 0 AS found FROM (SELECT item_id, {_PROBE} AS phrase FROM benchmark) b
+_PREFIX = 60
+
+
+@query(f"""SELECT item_id, count(d.doc_id) AS n_docs, min(d.doc_id) AS first_doc, count(d.doc_id) > 0 AS found FROM (SELECT item_id, substring(text, 1, {_PREFIX}) AS phrase FROM benchmark) b
 LEFT JOIN documents d ON contains(lower(d.text), lower(b.phrase)) GROUP BY item_id""")
 def evidence_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an item's start is found in any document, and the first that has it."""
-    found = trigram_candidates(spark, sf_dir)
-    joined = table(spark, sf_dir, "benchmark").select("item_id").join(found, "item_id", "left")
+    """Whether an item's start (evidence is told by its start) is found in any document, and the first that has it."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, _PREFIX).alias("phrase"))
+    found = s.contains_search(items, table(spark, sf_dir, "documents"), "item_id", "phrase", "doc_id", "text")
+    joined = items.select("item_id").join(found, "item_id", "left")
     return joined.groupBy("item_id").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"), (F.count("doc_id") > 0).alias("found"))

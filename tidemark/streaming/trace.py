@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 LIMIT, WINDOW_S = 30, 60
+#: State of a key is dropped after so many seconds without its events.
+EXPIRE_S = 86_400
 ORDER = ["pending", "ingesting", "auditing", "aggregating", "done"]
 
 
@@ -31,6 +34,9 @@ def rate_limited(events: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_S)
     """
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         accepted = []
@@ -40,23 +46,52 @@ def rate_limited(events: DataFrame, limit: int = LIMIT, seconds: int = WINDOW_S)
             if accepted[-1]:
                 recent.append(int(at))
         state.update((recent,))
+        state.setTimeoutDuration(1000 * EXPIRE_S)
         yield pd.DataFrame({"user_id": rows.user_id, "event_id": rows.event_id, "accepted": accepted})
 
     return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(
-        decide, "user_id long, event_id long, accepted boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
+        decide, "user_id long, event_id long, accepted boolean", "recent array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def session_states(events: DataFrame) -> DataFrame:
     """(user_id, state, n_done, failed): the furthest state of each session; events may come in any order."""
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         step, done, failed = state.get if state.exists else (0, 0, False)
         for rows in batches:
             step = max([step, *[ORDER.index(x) for x in rows.stage if x in ORDER]])
             done += int((rows.stage == "dimension").sum())
             failed = failed or bool((rows.stage == "failed").any())
         state.update((step, done, failed))
+        state.setTimeoutDuration(1000 * EXPIRE_S)
         yield pd.DataFrame({"user_id": [key[0]], "state": ["failed" if failed else ORDER[step]], "n_done": [done], "failed": [failed]})
 
     return events.select("user_id", "stage").groupBy("user_id").applyInPandasWithState(
-        advance, "user_id long, state string, n_done long, failed boolean", "step int, done long, failed boolean", "update", GroupStateTimeout.NoTimeout)
+        advance, "user_id long, state string, n_done long, failed boolean", "step int, done long, failed boolean", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def progress(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(user_id, done, failed, last): counts of finished and failed steps by task, kept as events come."""
+    return events.withWatermark("ts", late).groupBy("user_id").agg(
+        F.count_if(F.col("event_type") == "purchase").alias("done"), F.count_if(F.col("event_type") == "error").alias("failed"), F.max("ts").alias("last"))
+
+
+def recent_and_forwarded(batch: DataFrame, ring: str, keep: int, publish) -> None:
+    """One trigger of a monitor: the batch goes on to `publish`, and the newest `keep` events replace the ring's files."""
+    spark = batch.sparkSession
+    newest = batch.orderBy(F.desc("ts"), F.desc("event_id")).limit(keep)
+    try:
+        old = spark.createDataFrame(spark.read.parquet(ring).collect(), batch.schema)  # at most `keep` rows
+        newest = old.unionByName(newest).dropDuplicates(["event_id"]).orderBy(F.desc("ts"), F.desc("event_id")).limit(keep)
+    except AnalysisException:
+        pass  # the first trigger has no ring yet
+    newest.coalesce(1).write.mode("overwrite").parquet(ring)
+    publish(batch)
+
+
+def monitor(events: DataFrame, ring: str, checkpoint: str, publish, keep: int = 500):
+    """The consuming loop: each trigger's events to the ring of the newest `keep` and to `publish`."""
+    return events.writeStream.foreachBatch(lambda batch, _: recent_and_forwarded(batch, ring, keep, publish)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
