@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions import text as tx
 from tidemark.lexicons import (
@@ -157,7 +158,7 @@ def numbered_steps(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit("(?U)" + NUMBERED_STEP), F.lit(1)), lambda x: F.substring(F.trim(x), 1, 100))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """How alike two lists are in their order, between 0 and 1."""
     return pd.Series([difflib.SequenceMatcher(None, list(x), list(y)).ratio() for x, y in zip(a, b, strict=True)], dtype=float)

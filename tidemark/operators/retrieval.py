@@ -57,23 +57,14 @@ def skill_search(queries: DataFrame, skills: DataFrame, q: str, query: str, k: i
 
 
 def snippets(dense: DataFrame | None, lexical: DataFrame | None, q: str, key: str, k: int = 5) -> DataFrame:
-    """(q, key, score, rank) of two legs (q, key, rank): a query that only one leg answers gets that leg as it is."""
+    """(q, key, score, rank) of one or two legs (q, key, rank).
+
+    A query that only one leg answers keeps that leg's order, because the fused score then falls with its rank.
+    """
     legs = [leg for leg in (lexical, dense) if leg is not None]
     if not legs:
         raise ValueError("no leg to search")
-    fused = fuse(legs, q, key, k)
-    if len(legs) == 1:
-        return fused
-    counts = None
-    for i, leg in enumerate(legs):
-        part = leg.select(q).distinct().withColumn("_leg", F.lit(i))
-        counts = part if counts is None else counts.unionByName(part)
-    alone = counts.groupBy(q).agg(F.count(F.lit(1)).alias("_n"), F.first("_leg").alias("_leg")).where("_n = 1")
-    passed = None
-    for i, leg in enumerate(legs):
-        part = leg.join(alone.where(F.col("_leg") == i).select(q), q, "left_semi").where(F.col("rank") <= k).select(q, key, (F.lit(1.0) / (60 + F.col("rank"))).alias("score"), "rank")
-        passed = part if passed is None else passed.unionByName(part)
-    return fused.join(alone.select(q), q, "left_anti").unionByName(passed)
+    return fuse(legs, q, key, k)
 
 
 def hashed_vector(text: Column, size: int = 64) -> Column:

@@ -24,4 +24,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tidemark.plans import audit, conversations, documents, events, rules, search, stores  # noqa: E402, F401
+from tidemark.plans import audit, conversations, documents, events, retrieval, rules, search, stores  # noqa: E402, F401

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType
 
 
 def result_json(df: DataFrame, name: str = "json") -> DataFrame:
@@ -31,7 +32,7 @@ def write_outputs(results: DataFrame, reports: DataFrame, folder: str) -> None:
     write_reports(reports, f"{folder}/markdown")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _best_paragraph(paragraphs: pd.Series, anchor: pd.Series, section: pd.Series, fallback: pd.Series) -> pd.Series:
     return pd.Series([nearest_paragraph(list(p) if p is not None else [], a or "", s or "", int(f) if f == f and f is not None else 0) for p, a, s, f in zip(paragraphs, anchor, section, fallback, strict=True)], dtype="int32")
 
