@@ -22,10 +22,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join reads both sides from shuffles and the links of a hub can be split
+        low = scratch(spark, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = scratch(spark, large, "cc")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch(spark, large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         small = scratch(spark, small, "cc")

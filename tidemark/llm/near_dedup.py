@@ -8,9 +8,11 @@ counted over all documents into `IDF_BITS` hash buckets, a table of fixed size.
 Equal texts are one node. Each node gets `BANDS` * `ROWS` samples by improved consistent weighted
 sampling (Ioffe, 2010): two sets agree on a sample with the probability of their weighted Jaccard
 similarity. Nodes that agree on a whole band meet in a bucket; buckets of equal membership are handled
-once; in each, all texts are compared exactly, in blocks of at most `BLOCK` against `BLOCK`, and a
-block yields just enough verified links to keep what it connects connected. Components of the links
-are the classes.
+once. In a bucket of up to `BLOCK` texts all are compared exactly. In a larger one all are compared with
+one leader: those similar to it are connected by it, and since the distance (one less the similarity) is a
+metric, the others need comparing only with texts of about their own distance from the leader, in blocks
+of at most `BLOCK` against `BLOCK`. No link between texts that meet is lost, and a block yields just enough
+verified links to keep what it connects connected. Components of the links are the classes.
 
 Null and empty texts are equal to each other and to nothing else. A text of one to four words is one
 shingle. Rows repeating id and text are one document. The class id is the smallest id of the class (null
@@ -147,6 +149,13 @@ def jaccard_links(nodes: list[bytes], sets: list[tuple[np.ndarray, np.ndarray]],
     return links
 
 
+def weighted_jaccard(h: np.ndarray, w: np.ndarray, other_h: np.ndarray, other_w: np.ndarray) -> float:
+    """The weighted Jaccard similarity of two sets with sorted hashes."""
+    _, a, b = np.intersect1d(h, other_h, assume_unique=True, return_indices=True)
+    shared = np.minimum(w[a], other_w[b]).sum(dtype=np.float64)
+    return float(shared / max(w.sum(dtype=np.float64) + other_w.sum(dtype=np.float64) - shared, 1e-30))
+
+
 def _idf(docs: DataFrame) -> np.ndarray:
     """Inverse document frequencies by hash bucket of the word, over all documents."""
 
@@ -192,11 +201,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     nodes = signed.groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
     members = scratch(spark, nodes.select("digest", "id", F.posexplode("bands").alias("band", "key")), "near-members")
     buckets = members.groupBy("band", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("digest"), F.lit(1 << 30))).alias("mark"), F.min("digest").alias("low"), F.max("digest").alias("high"))
-    # buckets of one membership (same size, sum of hashes, ends) are handled once
-    chosen = buckets.where("n > 1").groupBy("n", "mark", "low", "high").agg(F.min(F.struct("band", "key")).alias("b")).select("n", "b.band", "b.key")
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64(F.lit(5), "digest")).alias("y"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    # buckets of one membership (same size and ends, same 128 bits of a hash of the set) are handled once
+    chosen = buckets.where("n > 1").groupBy("n", "x", "y", "low", "high").agg(F.min(F.struct("band", "key")).alias("b")).select("n", "low", "b.band", "b.key")
     chosen = scratch(spark, chosen, "near-buckets")
-    met = scratch(spark, members.join(chosen, ["band", "key"]).select("band", "key", "n", "digest", "id"), "near-met")
+    met = scratch(spark, members.join(chosen, ["band", "key"]).select("band", "key", "n", "low", "digest", "id"), "near-met")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,25 +220,60 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
 
     wanted = met.select(F.col("id").alias("_id")).distinct()
     texts = docs.join(wanted, docs["id"].eqNullSafe(wanted["_id"]), "left_semi").select("text")
-    weighted = texts.mapInArrow(sets, "digest binary, hashes binary, weights binary")
-    # a bucket of more than BLOCK nodes is dealt into parts, and each pair of parts is a block
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("digest"), parts).cast("int")
-    dealt = met.select("band", "key", "digest", mine.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    dealt = dealt.select("band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "digest")
-    blocks = dealt.join(weighted, "digest")
+    each = texts.groupBy(F.md5("text").alias("k")).agg(F.first("text").alias("text")).select("text")  # repeats of a text go once
+    weighted = scratch(spark, each.mapInArrow(sets, "digest binary, hashes binary, weights binary"), "near-sets")
+
+    def to_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6, 10)]
+            near = [weighted_jaccard(*(np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.float32, np.uint64, np.float32), strict=True))) for row in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(6)], pa.array(near, pa.float64())], ["band", "key", "n", "low", "digest", "id", "near"])
+
+    # A bucket of more than BLOCK nodes: all are compared with its first one. Those within reach of it are
+    # connected by it; the distance is a metric, so that a node farther off can only be similar to nodes of
+    # its own or of the neighbouring rings around the leader.
+    columns = ["band", "key", "n", "low", "digest", "id"]
+    large = met.where(F.col("n") > BLOCK)
+    leaders = weighted.select(F.col("digest").alias("low"), F.col("hashes").alias("lh"), F.col("weights").alias("lw"))
+    measured = large.join(weighted, "digest").join(leaders, "low").select(*columns, "hashes", "weights", "lh", "lw")
+    ddl = f"band int, key long, n long, low binary, digest binary, id {id_type}, near double"
+    measured = scratch(spark, measured.mapInArrow(to_leader, ddl), "near-leaders")
+    led = measured.where((F.col("near") >= similarity) & (F.col("digest") != F.col("low"))).select(F.col("low").alias("a"), F.col("digest").alias("b"))
+    reach = (1 - similarity) * 1.0001  # a little wider, for rounding
+    ring = F.when(F.col("near") >= similarity, 0).otherwise(F.greatest(F.lit(1), F.floor((1 - F.col("near")) / reach))).cast("int")
+    ringed = measured.select("band", "key", "digest", ring.alias("ring"))
+    # ring 0 is compared with ring 1 only, every other ring with itself and the next one
+    outer = ringed.where("ring > 0").groupBy("band", "key", "ring").agg(F.count(F.lit(1)).alias("size"))
+    sizes = ringed.groupBy("band", "key", "ring").agg(F.count(F.lit(1)).alias("size"))
+    own = outer.where("size > 1").select("band", "key", F.col("ring").alias("r"), F.col("ring").alias("s"), F.col("size").alias("m"), F.col("size").alias("o"))
+    beside = outer.select("band", "key", (F.col("ring") - 1).alias("r"), F.col("ring").alias("s"), F.col("size").alias("o")).join(
+        sizes.select("band", "key", F.col("ring").alias("r"), F.col("size").alias("m")), ["band", "key", "r"])
+    small = met.where(F.col("n") <= BLOCK).select("band", "key", "digest", F.lit(0).alias("ring"))
+    whole = small.select("band", "key").distinct().select("band", "key", F.lit(0).alias("r"), F.lit(0).alias("s"), F.lit(1).cast("long").alias("m"), F.lit(1).cast("long").alias("o"))
+    tasks = scratch(spark, whole.unionByName(own).unionByName(beside.select("band", "key", "r", "s", "m", "o")), "near-tasks")
+    # both sides of a task are dealt into parts of at most about BLOCK, and each pair of parts is a block
+    nodes_ = scratch(spark, small.unionByName(ringed), "near-ringed")
+    part = lambda size: F.pmod(F.xxhash64("digest"), F.ceil(F.col(size) / BLOCK)).cast("int")
+    others = lambda size: F.explode(F.sequence(F.lit(0), F.ceil(F.col(size) / BLOCK).cast("int") - 1))
+    left = tasks.join(nodes_.withColumnRenamed("ring", "r"), ["band", "key", "r"])
+    right = tasks.where("r <> s").join(nodes_.withColumnRenamed("ring", "s"), ["band", "key", "s"])
+    inner = left.where("r = s").select("band", "key", "r", "s", part("m").alias("p"), others("m").alias("q"), "digest")
+    inner = inner.select("band", "key", "r", "s", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") <= F.col("q")).alias("first"), "digest")
+    across = left.where("r <> s").select("band", "key", "r", "s", part("m").alias("i"), others("o").alias("j"), F.lit(True).alias("first"), "digest").unionByName(
+        right.select("band", "key", "r", "s", others("m").alias("i"), part("o").alias("j"), F.lit(False).alias("first"), "digest"))
+    blocks = inner.unionByName(across).join(weighted, "digest")
 
     def verify(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[2].as_py(), key[3].as_py()
-        rows = {r["digest"]: r for r in table.to_pylist()}  # a text may come from several rows
-        ordered = sorted(rows.values(), key=lambda r: (r["part"] != i, r["digest"]))
-        n_left = None if i == j else sum(r["part"] == i for r in ordered)
+        r, s, i, j = (key[x].as_py() for x in range(2, 6))
+        rows = {x["digest"]: x for x in table.to_pylist()}
+        ordered = sorted(rows.values(), key=lambda x: (not x["first"], x["digest"]))
+        n_left = None if (r, i) == (s, j) else sum(x["first"] for x in ordered)
         found = jaccard_links(
-            [r["digest"] for r in ordered],
-            [(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["weights"], np.float32)) for r in ordered], n_left, similarity)
+            [x["digest"] for x in ordered],
+            [(np.frombuffer(x["hashes"], np.uint64), np.frombuffer(x["weights"], np.float32)) for x in ordered], n_left, similarity)
         return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
 
-    links = blocks.groupBy("band", "key", "i", "j").applyInArrow(verify, "a binary, b binary")
+    links = blocks.groupBy("band", "key", "r", "s", "i", "j").applyInArrow(verify, "a binary, b binary").unionByName(led)
     roots = components(links)
     joined = signed.select("id", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
     return joined.select("id", "digest", F.coalesce("root", "digest").alias("root"))
