@@ -197,3 +197,32 @@ def test_every_event_has_its_parent(spark):
             want.append((user, pos, level, max((p for p, x in enumerate(levels[: pos - 1], 1) if x < level), default=None)))
     got = [tuple(r) for r in QUERIES["parent_heading"](spark, "/root/testdata/sf0.001").collect()]
     assert len(got) == len(events) and sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_places_across_ranges(spark):
+    """Ranks and neighbours within a key, over several ranges and with gaps."""
+    from tidemark.operators.sequence import placed_within
+
+    rows = [(s, i * i % 97 + 200 * (s == "a")) for s in ("a", "b", None) for i in range(40)]
+    rows = sorted(set(rows), key=str)
+    df = spark.createDataFrame(rows, "s string, i int")
+    got = {(r.s, r.i): (r.rank, r.before, r.after) for r in placed_within(df, ["s"], F.col("i"), ["i"], F.col("i"), width=7).collect()}
+    for s in ("a", "b", None):
+        ordered = sorted(i for k, i in rows if k == s)
+        for n, i in enumerate(ordered):
+            assert got[s, i] == (n + 1, ordered[n - 1] if n else None, ordered[n + 1] if n + 1 < len(ordered) else None)
+    assert len(got) == len(rows)
+
+
+def test_rows_without_type_stay(spark):
+    from tidemark.sources.parsed import content_list_blocks
+
+    items = spark.createDataFrame([("d", 0, None, "text", None, 0), ("d", 1, "footer", "x", None, 0)], "doc_id string, pos int, type string, text string, text_level int, page_idx int")
+    assert [r.text for r in content_list_blocks(items).collect()] == ["text"]
+
+
+def test_scanned_pages(spark):
+    from tidemark.sources.parsed import scanned
+
+    pages = spark.createDataFrame([("a", 1, " x "), ("a", 2, ""), ("b", 1, "w" * 60), ("b", 2, "")], "doc_id string, page_num int, text string")
+    assert {r.doc_id: r.is_scanned for r in scanned(pages).collect()} == {"a": True, "b": False}

@@ -67,3 +67,25 @@ def overall_rank(rows: DataFrame, first: Column, order: list[Column | str], widt
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)).cast("long")
     placed = ranged.withColumn("_place", place).join(offsets, F.col("_range").eqNullSafe(F.col("_at")))
     return placed.withColumn(rank, F.col("_place") + F.col("_before")).drop("_range", "_at", "_place", "_before")
+
+
+def placed_within(rows: DataFrame, by: list[str], first: Column, order: list[str], value: Column, width: int = 4096, rank: str = "rank", before: str = "before", after: str = "after") -> DataFrame:
+    """Rows with their place within the key, and the value of the row before and after.
+
+    As overall_rank, for keys that may hold a large part of all rows: ranges of `width` numbers of a key are
+    ordered each for itself; only one row for each range meets those of the key's other ranges.
+    """
+    ranged = rows.withColumns({"_range": F.floor(first / width), "_value": value})
+    inside = Window.partitionBy(*by, "_range").orderBy(*order)
+    edges = ranged.groupBy(*by, "_range").agg(
+        F.count(F.lit(1)).alias("_n"), F.min_by("_value", F.struct(*order)).alias("_head"), F.max_by("_value", F.struct(*order)).alias("_tail"))
+    across = Window.partitionBy(*by).orderBy("_range")
+    edges = edges.select(
+        *[F.col(c).alias(f"_at_{c}") for c in (*by, "_range")], F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_sum"),
+        F.lag("_tail").over(across).alias("_prev"), F.lead("_head").over(across).alias("_next"))
+    placed = ranged.withColumns({"_place": F.row_number().over(inside).cast("long"), "_lag": F.lag("_value").over(inside), "_lead": F.lead("_value").over(inside)})
+    same = F.lit(True)
+    for c in (*by, "_range"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_at_{c}"))
+    joined = placed.join(edges, same).withColumns({rank: F.col("_place") + F.col("_sum"), before: F.coalesce("_lag", "_prev"), after: F.coalesce("_lead", "_next")})
+    return joined.select(*rows.columns, rank, before, after)

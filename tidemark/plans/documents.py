@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import folds
+from tidemark.operators.sequence import placed_within
 from tidemark.queries import query
 from tidemark.session import table
 
@@ -119,22 +120,23 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 (SELECT source, n_chars, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10)::BIGINT AS batch FROM documents) GROUP BY source, batch""")
 def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of ten documents of a source, in order."""
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = table(spark, sf_dir, "documents").select("source", "n_chars", F.floor((place - 1) / 10).alias("batch"))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    placed = placed_within(docs, ["source"], F.col("doc_id"), ["doc_id"], F.col("doc_id"))
+    rows = placed.select("source", "n_chars", F.floor((F.col("rank") - 1) / 10).alias("batch"))
     return rows.groupBy("source", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("""SELECT doc_id, lag(doc_id) OVER w AS prev_id, lead(doc_id) OVER w AS next_id, substring(lag(text) OVER w, 1, 30) AS prev_text,
-concat(substring(regexp_replace(source, '[^A-Za-z0-9_-]+', '_', 'g'), 1, 30), '_', lpad((row_number() OVER w - 1)::VARCHAR, 4, '0')) AS chunk_id
+concat(substring(regexp_replace(source, '[^A-Za-z0-9_-]+', '_', 'g'), 1, 30), '_', CASE WHEN row_number() OVER w > 9999 THEN (row_number() OVER w - 1)::VARCHAR ELSE lpad((row_number() OVER w - 1)::VARCHAR, 4, '0') END) AS chunk_id
 FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)""")
 def lag_lead_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours and sequential ids inside a source."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    number = (F.row_number().over(w) - 1).cast("string")
-    padded = tx.zero_padded(number, 4)
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.lag("doc_id").over(w).alias("prev_id"), F.lead("doc_id").over(w).alias("next_id"),
-        F.lag(F.substring("text", 1, 30)).over(w).alias("prev_text"), F.concat(tx.safe_id(F.col("source"), 30), F.lit("_"), padded).alias("chunk_id"))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.substring("text", 1, 30).alias("start"))
+    placed = placed_within(docs, ["source"], F.col("doc_id"), ["doc_id"], F.struct("doc_id", "start"))
+    padded = tx.zero_padded((F.col("rank") - 1).cast("string"), 4)
+    return placed.select(
+        "doc_id", F.col("before.doc_id").alias("prev_id"), F.col("after.doc_id").alias("next_id"), F.col("before.start").alias("prev_text"),
+        F.concat(tx.safe_id(F.col("source"), 30), F.lit("_"), padded).alias("chunk_id"))
 
 
 _SCENARIOS = {"letter": ["@", "Dear", " you "], "code": ["password", "token", "|", "License"]}

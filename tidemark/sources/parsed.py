@@ -13,7 +13,7 @@ def content_list_blocks(items: DataFrame) -> DataFrame:
     """Blocks of content-list rows (doc_id, pos, type, text, text_level, page_idx)."""
     level = F.when(F.col("text_level") >= 1, F.col("text_level"))
     kind = F.when(level.isNotNull(), "heading").when(F.col("type") == "text", "paragraph").otherwise(F.col("type"))
-    return items.where(~F.col("type").isin(*FURNITURE)).select("doc_id", "pos", kind.alias("block_type"), "text", level.alias("heading_level"), (F.col("page_idx") + 1).alias("page"))
+    return items.where(~F.coalesce(F.col("type").isin(*FURNITURE), F.lit(False))).select("doc_id", "pos", kind.alias("block_type"), "text", level.alias("heading_level"), (F.col("page_idx") + 1).alias("page"))
 
 
 def summaries(blocks: DataFrame) -> DataFrame:
