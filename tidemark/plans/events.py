@@ -27,9 +27,9 @@ def dimension_map(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                  F.when(F.col("event_type") == "error", "failure").otherwise("traffic").alias("category"))
 
 
-@query("""WITH x AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, 1 + floor(value)::BIGINT % 4 AS level FROM events),
-y AS (SELECT * FROM x WHERE pos <= 30)
-SELECT user_id, pos, level, (SELECT max(p.pos) FROM y p WHERE p.user_id = y.user_id AND p.pos < y.pos AND p.level < y.level) AS parent_pos FROM y""")
+@query("""WITH x AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, 1 + floor(value)::BIGINT % 4 AS level FROM events)
+SELECT user_id, pos, level, CASE level WHEN 2 THEN max(CASE WHEN level < 2 THEN pos END) OVER w WHEN 3 THEN max(CASE WHEN level < 3 THEN pos END) OVER w WHEN 4 THEN max(CASE WHEN level < 4 THEN pos END) OVER w END AS parent_pos
+FROM x WINDOW w AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def parent_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parent of a heading: the last earlier one of a lower level."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", (1 + F.floor("value") % 4).alias("level"))
@@ -50,7 +50,7 @@ def span_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.islands(table(spark, sf_dir, "events").select("user_id", (at - 60).alias("a"), (at + 60).alias("b")), ["user_id"], "a", "b")
 
 
-@query("""SELECT path, row_number() OVER (ORDER BY k, n) AS rank FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_orderkey::VARCHAR || '.' || l_linenumber::VARCHAR AS path FROM lineitem WHERE l_orderkey <= 200)""")
+@query("""SELECT path, row_number() OVER (ORDER BY k, n) AS rank FROM (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_orderkey::VARCHAR || '.' || l_linenumber::VARCHAR AS path FROM lineitem)""")
 def natural_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Section paths in the order of their numbers, all as one document."""
     paths = table(spark, sf_dir, "lineitem").select(F.concat_ws(".", "l_orderkey", "l_linenumber").alias("path")).distinct()
