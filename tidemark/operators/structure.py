@@ -106,8 +106,14 @@ def toc_page_findings(entries: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def structure_results(chunks: DataFrame) -> DataFrame:
-    """One verdict for each document by all structure rules."""
-    found = structure_findings(chunks).select("doc_id", "severity").unionByName(appendix_findings(chunks).select("doc_id", "severity"))
+    """One verdict for each document by the structure rules.
+
+    Rows without contents (headings alone) are judged by the rules on headings; those on appendices and
+    the table of contents need the content column.
+    """
+    found = structure_findings(chunks).select("doc_id", "severity")
+    if "content" in chunks.columns:
+        found = found.unionByName(appendix_findings(chunks).select("doc_id", "severity"))
     rows = chunks.select("doc_id").distinct().join(found, "doc_id", "left")
     return folds.severity_counts(rows, ["doc_id"]).select("*", *folds.structure_verdict())
 
