@@ -73,3 +73,22 @@ def test_audio_columns(spark):
 
 def test_empty_table(spark):
     assert m.payload_audio(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_tags_of_both_versions():
+    from tidemark.llm.mpeg_audio import _tag_fields
+
+    def tag(version, frames):
+        body = b"".join(frames) + bytes(20)
+        n = len(body)
+        return b"ID3" + bytes([version, 0, 0, n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127]) + body
+
+    plain = lambda n: n.to_bytes(4, "big")
+    safe = lambda n: bytes([n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127])
+    for version, sized in ((3, plain), (4, safe)):
+        long = b"\x03note\0" + b"x" * 300
+        wide = b"\x01" + "Straße".encode("utf-16")
+        data = tag(version, [b"TXXX" + sized(len(long)) + b"\0\0" + long, b"TIT2" + sized(len(wide)) + b"\0\0" + wide, b"COMM" + sized(3) + b"\0\0abc"])
+        end, fields = _tag_fields(data + b"rest")
+        assert end == len(data) and fields == {"note": "x" * 300, "TIT2": "Straße"}
+    assert _tag_fields(b"ID3") == (0, {}) and _tag_fields(b"") == (0, {})

@@ -138,17 +138,26 @@ def encode_stream(payload: bytes, fields: dict[str, str] | None = None) -> bytes
     return b"".join([tag, info, *parts, b"TAG".ljust(128, b"\0")])
 
 
+_TEXT_CODES = ("latin-1", "utf-16", "utf-16-be", "utf-8")
+
+
 def _tag_fields(data: bytes) -> tuple[int, dict[str, str]]:
-    """End of a leading ID3v2 tag (0 without one) and its TXXX fields."""
+    """End of a leading ID3v2 tag (0 without one) and its text fields: TXXX by name, others by frame.
+
+    Sizes of frames have seven bits a byte from version 2.4 on, and eight in version 2.3.
+    """
     if len(data) < 10 or data[:3] != b"ID3":
         return 0, {}
     unsafe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
     end, at, found = min(len(data), 10 + unsafe(data[6:10])), 10, {}
     while at + 10 <= end and data[at] != 0:
-        size = unsafe(data[at + 4 : at + 8])
-        if data[at : at + 4] == b"TXXX":
-            name, _, value = data[at + 11 : at + 10 + size].partition(b"\0")
-            found[name.decode("utf-8", "replace")] = value.decode("utf-8", "replace")
+        frame, raw = data[at : at + 4], data[at + 4 : at + 8]
+        size = unsafe(raw) if data[3] >= 4 else int.from_bytes(raw, "big")
+        if frame[:1] == b"T" and size:
+            code = _TEXT_CODES[min(data[at + 10], 3)]
+            text = data[at + 11 : min(end, at + 10 + size)].decode(code, "replace").rstrip("\0")
+            name, _, value = text.partition("\0") if frame == b"TXXX" else (frame.decode("latin-1"), "", text)
+            found[name] = value.removeprefix("\ufeff")
         at += 10 + size
     return end, found
 
