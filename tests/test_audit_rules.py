@@ -132,7 +132,7 @@ def test_excerpts(spark):
     long = "a" * 500 + "KEY" + "b" * 300 + "KEY" + "c" * 2000 + "END" + "d" * 50
     df = spark.createDataFrame([(long,), ("short KEY",), ("z" * 3000,)], "t string")
     got = [r[0] for r in df.select(consistency.excerpt(F.col("t"), ["KEY", "END"], 100, 250, 900)).collect()]
-    merged = [(400, 1053), (2706, 2856)]  # the first two of three overlap
+    merged = [(400, 1053), (2706, 2859)]  # the first two of three overlap
     assert got[0] == "\n...\n".join(long[a:b] for a, b in merged) and got[1] == "short KEY" and got[2] == "z" * 900
 
 
