@@ -93,13 +93,6 @@ def bm25(queries: DataFrame, docs: DataFrame, q: str, query_text: str, key: str,
     return top(scored, [q], [F.desc("score"), key], k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of numbers, in double."""
-    wide = lambda v: F.transform(v, lambda x: x.cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(wide(x), wide(y), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def dense_topk(queries: DataFrame, vectors: DataFrame, q: str, query_vector: str, key: str, vector: str, k: int, places: int = 6, label: str | None = None) -> DataFrame:
     """(q, key, score, rank): the k nearest vectors by cosine, on request of the query's label only.
 

@@ -14,10 +14,14 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
 
 
-@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
+@query("""SELECT item_id, doc_id, len(list_distinct(list_transform(range(1, length(b.text) - 1), lambda i: substring(lower(b.text), i::INT, 3))))::BIGINT AS overlap
+FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))""")
 def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a whole item."""
-    return s.contains_search(_items(spark, sf_dir), table(spark, sf_dir, "documents"), "item_id", "phrase", "doc_id", "text")
+    """Documents that hold a whole item, with the number of different trigrams that both share."""
+    items = _items(spark, sf_dir)
+    grams = s.trigram_index(items, "item_id", "phrase").groupBy("item_id").agg(F.count(F.lit(1)).alias("overlap"))
+    found = s.contains_search(items, table(spark, sf_dir, "documents"), "item_id", "phrase", "doc_id", "text")
+    return found.join(grams, "item_id")
 
 
 @query(r"""WITH t AS (SELECT item_id, list_distinct(list_filter(string_split_regex(text, '\s+'), lambda w: length(w) >= 3 AND upper(w) NOT IN ('OR', 'AND', 'NOT'))) AS words FROM benchmark),
