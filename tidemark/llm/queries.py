@@ -10,6 +10,7 @@ from tidemark.llm.private_data import op3_private_data
 from tidemark.llm.quality_classifier import op9_weak_label_quality
 from tidemark.llm.quality_rules import op10_quality_rules
 from tidemark.llm.quality_rules_sql import OP10_SQL
+from tidemark.llm.simhash_dedup import op11_simhash_positions
 from tidemark.llm.substring_dedup import op8_fixed_block_anchors
 
 QUERIES = {
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_fixed_block_anchors": op8_fixed_block_anchors,
     "op9_weak_label_quality": op9_weak_label_quality,
     "op10_quality_rules": op10_quality_rules,
+    "op11_simhash_positions": op11_simhash_positions,
 }
 
 ORACLES: dict[str, str] = {
