@@ -105,9 +105,21 @@ def word_bounds(raw: np.ndarray, row_at: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of every word, from prefix sums of a polynomial over its bytes."""
+    """A 64-bit hash of every word, from prefix sums of a polynomial over its bytes.
+
+    A long text goes in pieces of about `SLICE_BYTES`, cut between words, so that the sums never need more
+    than a few times the bytes of a piece.
+    """
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
+    if ends[-1] - starts[0] > 2 * SLICE_BYTES and len(starts) > 1:
+        cuts = np.unique(np.searchsorted(starts, np.arange(starts[0] + SLICE_BYTES, ends[-1], SLICE_BYTES)))
+        cuts = [0, *cuts[(cuts > 0) & (cuts < len(starts))].tolist(), len(starts)]
+        return np.concatenate([_piece_hashes(raw[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a], which) for a, b in zip(cuts, cuts[1:], strict=False)])
+    return _piece_hashes(raw, starts, ends, which)
+
+
+def _piece_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
     code = _BYTE_CODE[which]
     place = np.arange(len(raw), dtype=np.int64)
     length = ends - starts

@@ -6,6 +6,7 @@ from tidemark.llm.line_dedup import OP2_SQL, op2_line_suffix_array
 from tidemark.llm.mixing import OP5_SQL, op5_mixing
 from tidemark.llm.mpeg_audio import op7_mpeg_audio
 from tidemark.llm.near_dedup import op4_weighted_minhash
+from tidemark.llm.periodic_runs import op12_scale_tiles
 from tidemark.llm.private_data import op3_private_data
 from tidemark.llm.quality_classifier import op9_weak_label_quality
 from tidemark.llm.quality_rules import op10_quality_rules
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_weak_label_quality": op9_weak_label_quality,
     "op10_quality_rules": op10_quality_rules,
     "op11_simhash_positions": op11_simhash_positions,
+    "op12_scale_tiles": op12_scale_tiles,
 }
 
 ORACLES: dict[str, str] = {
