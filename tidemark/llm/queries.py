@@ -13,6 +13,7 @@ from tidemark.llm.quality_rules import op10_quality_rules
 from tidemark.llm.quality_rules_sql import OP10_SQL
 from tidemark.llm.simhash_dedup import op11_simhash_positions
 from tidemark.llm.substring_dedup import op8_fixed_block_anchors
+from tidemark.llm.token_alignment import op13_diagonal_runs
 
 QUERIES = {
     "op1_html_density": op1_html_density,
@@ -27,6 +28,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_simhash_positions": op11_simhash_positions,
     "op12_scale_tiles": op12_scale_tiles,
+    "op13_diagonal_runs": op13_diagonal_runs,
 }
 
 ORACLES: dict[str, str] = {
