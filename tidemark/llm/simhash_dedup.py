@@ -180,6 +180,8 @@ def near_classes(
     named = linked.select("fp", "root").join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     every = entries.join(named.withColumn("_linked", F.lit(True)), "fp", "left")
     every = every.select("fp", F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    # written, so that the join with the rows reads both sides from shuffles and a fingerprint of many rows can be split
+    every = scratch(spark, every, "simhash-named")
     return rows.join(every, "fp").select(id_col, "fp", "component_id")
 
 
