@@ -319,8 +319,10 @@ def planted(df: DataFrame) -> DataFrame:
     n = F.size("w")
     rows = rows.withColumn("a", F.when(n > 0, F.pmod("g", n)).cast("int"))
     rows = rows.withColumn("p", F.when(n > 0, 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
-    words = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", F.col("a") + F.pmod(i - F.col("a"), F.col("p")))))
-    return rows.select("doc_id", F.when(n > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+    # whole slices: a lambda over the words would let the optimiser split the text again for each of them
+    period = F.slice("w", F.col("a") + 1, F.col("p"))
+    words = F.concat(F.slice("w", F.lit(1), F.col("a")), F.flatten(F.array_repeat(period, F.ceil((n - F.col("a")) / F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(F.slice(words, F.lit(1), n), " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op12_scale_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
