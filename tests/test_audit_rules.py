@@ -246,7 +246,7 @@ def test_contexts(spark):
     got = {(r.dimension, r.pos) for r in retrieval.context_rows(chunks, dims, 250).collect()}
     assert got == {("A", 3), ("B", 0), ("B", 1)}
     skills = spark.createDataFrame([("s1", "泄漏处置", "p", "关闭阀门", 3, "E2"), ("s2", "标点", "p", "检查", 9, "C3")], "skill_id string, name string, pattern string, solution string, used_count int, dimension string")
-    queries = spark.createDataFrame([(1, "发生泄漏怎么办"), (2, "无关")], "q int, text string")
+    queries = spark.createDataFrame([(1, "发生 泄漏 怎么办"), (2, "无关")], "q int, text string")
     assert [(r.q, r.skill_id) for r in retrieval.skill_search(queries, skills, "q", "text").collect()] == [(1, "s1")]
     rows = spark.createDataFrame([("q", 1, "GB 1", "5.2", "职责", "内容"), ("q", 2, "GB 2", "", None, "其他")], "q string, rank int, standard_name string, clause_num string, title string, content string")
     assert retrieval.snippet_text(rows, ["q"]).first().text == "[GB 1 5.2] 职责: 内容\n[GB 2] 其他"

@@ -42,32 +42,40 @@ _FENCE = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)
 
 
 def _objects(text: str) -> Iterator[str]:
-    """The outermost balanced {...} of a text, braces inside strings not counted, in one pass."""
-    depth, start, quoted, escaped = 0, 0, False, False
+    """The balanced {...} of a text by their start, in one pass, once with braces inside strings left out, once with them.
+
+    The second reading is for quotes of the prose around an object, which open no string.
+    """
+    open_, plain, spans, quoted, escaped = [], [], set(), False, False
     for i, c in enumerate(text):
-        if depth and quoted:
+        if c == "{":
+            plain.append(i)
+        elif c == "}" and plain:
+            spans.add((plain.pop(), i + 1))
+        if quoted:
             if c == '"' and not escaped:
                 quoted = False
             escaped = c == "\\" and not escaped
         elif c == "{":
-            if depth == 0:
-                start = i
-            depth += 1
-        elif depth and c == '"':
+            open_.append(i)
+        elif open_ and c == '"':
             quoted, escaped = True, False
-        elif depth and c == "}":
-            depth -= 1
-            if depth == 0:
-                yield text[start : i + 1]
+        elif open_ and c == "}":
+            spans.add((open_.pop(), i + 1))
+    for start, end in sorted(spans):
+        yield text[start:end]
 
 
 def first_json_object(text: str | None) -> str | None:
-    """The first JSON object in a text: in a fence if there is one, else the first balanced braces that parse."""
+    """The first JSON object in a text: in a fence if there is one, else the first balanced braces that parse.
+
+    An unmatched or bad brace before an object does not hide it.
+    """
     fenced = [m[1] for m in _FENCE.finditer(text or "")]
     for candidate in (*fenced, *_objects(text or "")):
         try:
             value = json.loads(candidate)
-        except json.JSONDecodeError:
+        except (json.JSONDecodeError, RecursionError):
             continue
         if isinstance(value, dict):
             return json.dumps(value, ensure_ascii=False)

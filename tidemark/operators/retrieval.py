@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.lexicons import CONTEXT_BUDGETS, SEARCH_WORDS
-from tidemark.operators.search import contains_search, fuse, tokens
+from tidemark.operators import gram_index
+from tidemark.operators.gram_index import GramIndex
+from tidemark.operators.search import fuse, tokens
 from tidemark.operators.sequence import top, within_budget
+from tidemark.session import written
 
 DEFAULT_BUDGET = (2500, 2000)
 
@@ -20,40 +23,71 @@ def word_tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) > 1), pairs))
 
 
-def token_search(queries: DataFrame, docs: DataFrame, q: str, query: str, key: str, text: str, k: int, least: int = 3, most: int | None = None) -> DataFrame:
-    """(q, key, rank): the first k documents by key that hold any of a query's tokens, in any case.
+def token_search(
+    queries: DataFrame, index: GramIndex, q: str, query: str, key: str, k: int, least: int = 3, most: int | None = None,
+    allowed: DataFrame | None = None, first_token: bool = False, words: Column | None = None,
+) -> DataFrame:
+    """(q, key, rank, fallback): the first k documents by key that hold any of a query's tokens, in any case.
 
-    A query whose tokens have no hit is searched whole in a second pass (`fallback`).
+    A query whose tokens have no hit is searched again by its whole text, or by its first token (`first_token`),
+    of any length. `allowed` (q, scope) restricts a query to documents of some scopes, before anything is counted.
+    `words` replaces the tokens of the query.
     """
-    found = F.slice(tokens(F.col(query), least), 1, most) if most else tokens(F.col(query), least)
-    phrases = queries.select(q, F.explode(found).alias("phrase"))
-    hits = contains_search(phrases, docs, q, "phrase", key, text).distinct().withColumn("fallback", F.lit(False))
-    rest = queries.join(hits.select(q).distinct(), q, "left_anti").select(q, F.col(query).alias("phrase"))
-    whole = contains_search(rest, docs, q, "phrase", key, text).withColumn("fallback", F.lit(True))
-    return top(hits.unionByName(whole), [q], [key], k)
+    found = tokens(F.col(query), least) if words is None else words
+    phrases = queries.select(q, F.explode(F.slice(found, 1, most) if most else found).alias("_w")).select(q, F.lower("_w").alias("phrase"))
+    spark = queries.sparkSession
 
+    def search(wanted: DataFrame) -> DataFrame:
+        if allowed is None:
+            # one search for each different phrase, whatever the number of its queries
+            hits = gram_index.find(index, wanted.select("phrase"), k)
+            return wanted.join(hits, "phrase").select(q, "key").distinct()
+        return gram_index.find(index, wanted, k, (q,), allowed).select(q, "key").distinct()
 
-def clause_search(queries: DataFrame, clauses: DataFrame, q: str, query: str, k: int = 3, allowed: DataFrame | None = None) -> DataFrame:
-    """(q, clause_id, rank, fallback): clauses by any token over title, content and tags.
+    hits = written(spark, search(phrases), "token-hits")
+    whole = F.regexp_extract(query, r"\S+", 0) if first_token else F.col(query)
+    rest = queries.select(q, F.lower(whole).alias("phrase")).join(hits.select(q).distinct(), q, "left_anti")
+    every = hits.withColumn("fallback", F.lit(False))
+    if not rest.isEmpty():
+        every = every.unionByName(search(rest).withColumn("fallback", F.lit(True)))
+    return top(every, [q], ["key"], k).select(q, F.col("key").alias(key), "rank", "fallback")
 
-    `allowed` (q, standard_name) restricts a query to some standards, as a dimension does.
+
+def clause_index(clauses: DataFrame) -> GramIndex:
+    """The index of clauses over title, content and tags, by standard."""
+    text = F.concat_ws("\n", "title", "content", F.array_join("tags", " "))
+    return gram_index.build(clauses.withColumn("_t", text), "clause_id", "_t", "standard_name")
+
+
+def clause_search(queries: DataFrame, index: GramIndex, q: str, query: str, k: int = 3, allowed: DataFrame | None = None) -> DataFrame:
+    """(q, clause_id, rank, fallback): clauses by any token over title, content and tags, else by the query's first token.
+
+    `allowed` (q, standard_name) restricts a query to some standards, as a dimension does; a query that no
+    allowed clause answers falls back, whatever others hold.
     """
-    rows = clauses.withColumn("_t", F.concat_ws("\n", "title", "content", F.array_join("tags", " ")))
-    found = token_search(queries, rows, q, query, "clause_id", "_t", 1 << 30)
-    if allowed is not None:
-        found = found.join(clauses.select("clause_id", "standard_name"), "clause_id").join(allowed, [q, "standard_name"], "left_semi")
-    return top(found.drop("rank"), [q], ["clause_id"], k).select(q, "clause_id", "rank", "fallback")
+    scope = None if allowed is None else allowed.withColumnRenamed("standard_name", "scope")
+    return token_search(queries, index, q, query, "clause_id", k, allowed=scope, first_token=True)
 
 
 def skill_search(queries: DataFrame, skills: DataFrame, q: str, query: str, k: int = 3, dimension: str | None = None) -> DataFrame:
-    """(q, skill_id, rank): skills by any of a query's first eight tokens of two characters, most used first."""
+    """(q, skill_id, rank, fallback): skills that hold any of a query's first eight tokens of two characters, most used first.
+
+    Tokens are found as substrings, in any case; a query without hits is searched whole in pattern and solution.
+    """
     rows = skills if dimension is None else skills.where(F.col("dimension") == dimension)
-    words = F.slice(word_tokens(F.col(query)), 1, 8)
-    text = F.lower(F.concat_ws("\n", "name", "pattern", "solution"))
-    wanted = queries.select(q, F.explode(words).alias("_w"))
-    terms = rows.select("skill_id", "used_count", F.explode(F.concat(word_tokens(text), F.array(text))).alias("_w"))
-    hits = wanted.join(terms, "_w").select(q, "skill_id", "used_count").distinct()
-    return top(hits, [q], [F.desc("used_count"), "skill_id"], k).drop("used_count")
+    text = F.lower(F.concat_ws("\n", "name", "pattern", "solution", *([F.array_join("tags", " ")] if "tags" in skills.columns else [])))
+    spark = queries.sparkSession
+    index = gram_index.build(rows.withColumn("_t", text), "skill_id", "_t")
+    found = F.filter(F.split(F.trim(query), r"\s+"), lambda w: F.length(w) >= 2)
+    whole = F.filter(F.array(F.trim(query)), lambda w: w != "")
+    phrases = queries.select(q, F.explode(F.slice(F.when(F.size(found) > 0, found).otherwise(whole), 1, 8)).alias("_w")).select(q, F.lower("_w").alias("phrase"))
+    hits = phrases.join(gram_index.find(index, phrases.select("phrase")), "phrase").select(q, F.col("key").alias("skill_id")).distinct()
+    hits = written(spark, hits.withColumn("fallback", F.lit(False)), "skill-hits")
+    rest = queries.select(q, F.lower(query).alias("phrase")).join(hits.select(q).distinct(), q, "left_anti")
+    again = gram_index.build(rows.withColumn("_t", F.concat_ws("\n", "pattern", "solution")), "skill_id", "_t")
+    more = rest.join(gram_index.find(again, rest.select("phrase")), "phrase").select(q, F.col("key").alias("skill_id"), F.lit(True).alias("fallback"))
+    used = hits.unionByName(more).join(rows.select("skill_id", "used_count"), "skill_id")
+    return top(used, [q], [F.desc("used_count"), "skill_id"], k).select(q, "skill_id", "rank", "fallback")
 
 
 def snippets(dense: DataFrame | None, lexical: DataFrame | None, q: str, key: str, k: int = 5) -> DataFrame:

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
+from tidemark.operators import gram_index
+from tidemark.operators.gram_index import GramIndex
 from tidemark.operators.sequence import top
 
 #: Rank fusion: score is the sum of 1 / (RRF_K + rank).
 RRF_K = 60
-#: A stated query set goes to the tasks in blocks of so many characters of phrases, or vectors.
-BLOCK_CHARS, BLOCK_VECTORS = 4 << 20, 4096
+#: A stated query set goes to the tasks in blocks of so many vectors.
+BLOCK_VECTORS = 4096
 
 
 def tokens(text: Column, least: int = 3) -> Column:
@@ -25,14 +29,6 @@ def tokens(text: Column, least: int = 3) -> Column:
     return F.array_distinct(F.when(F.size(words) > 0, words).otherwise(whole))
 
 
-def trigram_index(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Inverted index (gram, key) over the different lower-case trigrams of each text."""
-    # characters first: a substring by position would scan each text once for each of its characters
-    letters = docs.select(key, F.split(F.lower(text), "").alias("_c"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("_c") - 3), lambda i: F.concat(F.get("_c", i), F.get("_c", i + 1), F.get("_c", i + 2)))
-    return letters.where(F.size("_c") >= 3).select(key, F.explode(F.array_distinct(grams)).alias("gram")).where(F.length("gram") == 3)
-
-
 def _blocks(queries: DataFrame, size: Column, limit: int) -> list[DataFrame]:
     """A stated query set in blocks of about `limit`, each small enough to be sent to every task."""
     total = queries.agg(F.sum(size)).first()[0] or 0
@@ -40,40 +36,11 @@ def _blocks(queries: DataFrame, size: Column, limit: int) -> list[DataFrame]:
     return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(*queries.columns), F.lit(n)) == i) for i in range(n)]
 
 
-def contains_search(queries: DataFrame, docs: DataFrame, q: str, phrase: str, key: str, text: str) -> DataFrame:
-    """(q, key): documents that hold a query's phrase, in any case.
-
-    The stated phrases go in blocks of `BLOCK_CHARS` to all tasks, and one automaton of a block finds all its
-    phrases in one pass over each text, so that nothing of the corpus is shuffled. A phrase of under three
-    characters is not searched.
-    """
-    wanted = queries.select(q, F.lower(phrase).alias("_p")).where(F.length("_p") >= 3)
-    ddl = f"{q} {wanted.schema[q].dataType.simpleString()}, {key} {docs.schema[key].dataType.simpleString()}"
-    out = None
-    for block in _blocks(wanted, F.length("_p"), BLOCK_CHARS):
-        names: dict[str, list] = {}
-        for ident, p in block.collect():  # at most a block
-            names.setdefault(p, []).append(ident)
-        out = _found(docs.select(key, F.lower(text).alias("_t")), names, ddl) if out is None else out.unionByName(_found(docs.select(key, F.lower(text).alias("_t")), names, ddl))
-    return out
-
-
-def _found(docs: DataFrame, names: dict[str, list], ddl: str) -> DataFrame:
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ahocorasick.Automaton()
-        for p in names:
-            automaton.add_word(p, p)
-        if names:
-            automaton.make_automaton()
-        for frame in batches:
-            ids, keys = [], []
-            for ident, content in frame.itertuples(index=False):
-                for p in {p for _, p in automaton.iter(content)} if names and content else ():
-                    ids += names[p]
-                    keys += [ident] * len(names[p])
-            yield pd.DataFrame({x.split()[0]: v for x, v in zip(ddl.split(", "), (ids, keys), strict=True)})
-
-    return docs.mapInPandas(scan, ddl)
+def contains_search(queries: DataFrame, index: GramIndex, q: str, phrase: str, key: str) -> DataFrame:
+    """(q, key): documents that hold a query's phrase, in any case. A phrase of under three characters is not searched."""
+    wanted = queries.select(q, F.lower(phrase).alias("phrase")).where(F.length("phrase") >= 3)
+    found = gram_index.find(index, wanted.select("phrase"))
+    return wanted.join(found, "phrase").select(q, F.col("key").alias(key))
 
 
 def bm25(queries: DataFrame, docs: DataFrame, q: str, query_text: str, key: str, text: str, k: int, k1: float = 1.2, b: float = 0.75, places: int = 6) -> DataFrame:
@@ -97,48 +64,52 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, q: str, query_vector: str
     """(q, key, score, rank): the k nearest vectors by cosine, on request of the query's label only.
 
     The stated queries go in blocks of `BLOCK_VECTORS` to all tasks; a task keeps the k best of its rows for
-    each query, and the final ranking sees only these.
+    each query, and the final ranking sees only these. Null keys and vectors find nothing and are not found.
     """
     labels = [] if label is None else [label]
+    queries, vectors = queries.where(F.col(q).isNotNull() & F.col(query_vector).isNotNull()), vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
     ddl = f"{q} {queries.schema[q].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
     rows = vectors.select(key, vector, *labels)
     out = None
     for block in _blocks(queries.select(q, query_vector, *labels), F.lit(1), BLOCK_VECTORS):
         stated = block.toPandas()  # at most a block
-        part = rows.mapInPandas(_nearest(stated, [q, key, "score"], k, places, bool(label)), ddl)
+        part = rows.mapInArrow(_nearest(stated, ddl, k, places, bool(label)), ddl)
         out = part if out is None else out.unionByName(part)
     return top(out, [q], [F.desc("score"), key], k)
 
 
-def _nearest(stated: pd.DataFrame, columns: list[str], k: int, places: int, labelled: bool):
-    names = stated.iloc[:, 0].to_numpy()
-    size = len(stated)
+def unit_rows(vectors: list, width: int | None = None) -> np.ndarray:
+    """Vectors of length one as a matrix; a vector of zeros stays as it is."""
+    matrix = np.array(vectors, dtype=np.float64).reshape(len(vectors), -1 if vectors else width or 0)
+    length = np.sqrt((matrix**2).sum(axis=1, keepdims=True))
+    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+
 
-    def unit(column: pd.Series) -> np.ndarray:
-        matrix = np.array(column.tolist(), dtype=np.float64).reshape(len(column), -1)
-        length = np.sqrt((matrix**2).sum(axis=1, keepdims=True))
-        return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
+def _nearest(stated: pd.DataFrame, ddl: str, k: int, places: int, labelled: bool):
+    """A scan that keeps the k best rows of its task for each stated query; equal scores go to the smaller key."""
+    kinds = _parse_datatype_string(ddl)
+    names, wanted = stated.iloc[:, 0].tolist(), unit_rows(stated.iloc[:, 1].tolist())
+    labels = stated.iloc[:, 2].to_numpy() if labelled else None
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = unit(stated.iloc[:, 1]) if size else None
-        best: list[list[tuple]] = [[] for _ in range(size)]
-        for frame in batches:
-            if not size or not len(frame):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple]] = [[] for _ in names]
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            if not keys or not names:
                 continue
-            keys = frame.iloc[:, 0].to_numpy()
-            scores = np.round(wanted @ unit(frame.iloc[:, 1]).T, places)
-            for i in range(size):
-                fits = keys != names[i]
-                if labelled:
-                    fits &= frame.iloc[:, 2].to_numpy() == stated.iloc[i, 2]
-                at = np.flatnonzero(fits)
-                if len(at) > k:
-                    least = np.partition(scores[i, at], len(at) - k)[len(at) - k]
-                    at = at[scores[i, at] >= least]
-                found = best[i] + [(-float(scores[i, j]), keys[j].item()) for j in at]
-                best[i] = sorted(found)[:k]
-        rows = [(names[i].item(), key, -score) for i, found in enumerate(best) for score, key in found]
-        yield pd.DataFrame(rows, columns=columns)
+            scores = np.round(wanted @ unit_rows(batch.column(1).to_pylist()).T, places)
+            own = np.array(batch.column(2).to_pylist(), dtype=object) if labelled else None
+            for i, row in enumerate(scores):
+                at = np.flatnonzero(own == labels[i]) if labelled else np.arange(len(row))
+                if len(at) > k + 1:
+                    # one more, as the query's own row does not count
+                    at = at[row[at] >= np.partition(row[at], len(at) - k - 1)[len(at) - k - 1]]
+                found = [(-float(row[j]), keys[j]) for j in at if keys[j] != names[i]]
+                best[i] = sorted(best[i] + found)[:k]
+        rows = [(name, key, -score) for name, found in zip(names, best, strict=True) for score, key in found]
+        columns = zip(*rows, strict=True) if rows else [[], [], []]
+        arrow = to_arrow_schema(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], arrow.names)
 
     return scan
 

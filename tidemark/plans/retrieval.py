@@ -188,5 +188,5 @@ def clause_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clause_id"), F.col("source").alias("standard_name"), F.lit("").alias("title"), F.col("text").alias("content"), F.array(F.col("lang")).alias("tags"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
     allowed = items.select("item_id", F.explode(F.array(*[F.concat(F.lit("src"), ((F.col("item_id") + i) % 20).cast("string")) for i in range(3)])).alias("standard_name"))
-    return retrieval.clause_search(items, docs, "item_id", "query", 3, allowed).select("item_id", "clause_id", "rank")
+    return retrieval.clause_search(items, retrieval.clause_index(docs), "item_id", "query", 3, allowed).select("item_id", "clause_id", "rank")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +27,16 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: that of the session's checkpoints, or the warehouse where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return (root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_written").rstrip("/")
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: evaluated once, and its lineage cut."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
