@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType
+
+from tidemark.operators.similarity import best_match, counts
 
 
 def result_json(df: DataFrame, name: str = "json") -> DataFrame:
@@ -32,16 +31,11 @@ def write_outputs(results: DataFrame, reports: DataFrame, folder: str) -> None:
     write_reports(reports, f"{folder}/markdown")
 
 
-@F.pandas_udf(IntegerType())
-def _best_paragraph(paragraphs: pd.Series, anchor: pd.Series, section: pd.Series, fallback: pd.Series) -> pd.Series:
-    return pd.Series([nearest_paragraph(list(p) if p is not None else [], a or "", s or "", int(f) if f == f and f is not None else 0) for p, a, s, f in zip(paragraphs, anchor, section, fallback, strict=True)], dtype="int32")
-
-
-def nearest_paragraph(paragraphs: list[str], anchor: str, section: str, fallback: int) -> int:
+def nearest_paragraph(paragraphs: list[str], anchor: str, section: str, fallback: int, low: list[str] | None = None) -> int:
     """The place of the paragraph that a finding is about.
 
     The first that names its section; else the first that holds its anchor; else the one most like it; else
-    the place that the finding gives.
+    the place that the finding gives. `low` has the paragraphs' first 200 characters in lower case.
     """
     if not paragraphs:
         return 0
@@ -51,24 +45,35 @@ def nearest_paragraph(paragraphs: list[str], anchor: str, section: str, fallback
         for i, text in enumerate(paragraphs):
             if section in text or short in text:
                 return i
-    best, score = fallback, 0.0
     wanted = anchor.lower()[:80]
     if wanted:
-        for i, text in enumerate(paragraphs):
-            low = text.lower()[:200]
-            if wanted in low:
+        low = low if low is not None else [t.lower()[:200] for t in paragraphs]
+        for i, text in enumerate(low):
+            if wanted in text:
                 return i
-            like = difflib.SequenceMatcher(None, wanted, low[: len(wanted) + 40]).ratio()
-            if like > score:
-                best, score = i, like
-    return max(0, min(best, last))
+        parts = [t[: len(wanted) + 40] for t in low]
+        place, _, _ = best_match(wanted, parts, counts(parts))
+        if place >= 0:
+            return place
+    return max(0, min(fallback, last))
 
 
 def placed_comments(findings: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Findings (doc_id, anchor_text, section_path, paragraph_index, description) with the paragraph for their comment."""
-    texts = blocks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("_p"))
-    rows = findings.join(texts, "doc_id", "left")
-    return rows.withColumn("paragraph", _best_paragraph("_p", "anchor_text", "section_path", F.coalesce("paragraph_index", F.lit(0)))).drop("_p")
+    """Findings (doc_id, anchor_text, section_path, paragraph_index, ...) with the paragraph for their comment.
+
+    Both sides meet by document, so that its paragraphs (doc_id, pos, text) are read once for all its findings.
+    """
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in findings.schema) + ", paragraph int"
+
+    def place(mine: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        paragraphs = texts.sort_values("pos")["text"].fillna("").tolist()
+        low = [t.lower()[:200] for t in paragraphs]
+        plain = lambda x: "" if x is None or x != x else x
+        rows = zip(mine["anchor_text"], mine["section_path"], mine["paragraph_index"].fillna(0), strict=True)
+        found = [nearest_paragraph(paragraphs, plain(a), plain(s), int(f), low) for a, s, f in rows]
+        return mine.assign(paragraph=pd.array(found, dtype="int32"))
+
+    return findings.groupBy("doc_id").cogroup(blocks.select("doc_id", "pos", "text").groupBy("doc_id")).applyInPandas(place, ddl)
 
 
 def append_events(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
