@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import gram_index, retrieval
+from tidemark.operators import gram_index, retrieval, vectors
 from tidemark.operators import search as s
 from tidemark.operators.gram_index import GramIndex
 from tidemark.queries import query
@@ -79,9 +79,9 @@ same AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY
 
 
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vector"))
-    return s.dense_topk(queries, vectors, "q_id", "q_vector", "vec_id", "embedding", k)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vector"))
+    return s.dense_topk(queries, rows, "q_id", "q_vector", "vec_id", "embedding", k)
 
 
 @query(f"WITH {_COSINE} SELECT q_id, vec_id, score, rank FROM dense WHERE rank <= 5")
@@ -90,14 +90,22 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir, 5)
 
 
+@query(f"WITH {_COSINE} SELECT q_id, vec_id, score, rank FROM dense WHERE rank <= 5")
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors by the index of cells, with every cell probed that may hold a nearer one."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vector"))
+    return vectors.index_topk(queries, vectors.build_index(rows, "vec_id", "embedding"), "q_id", "q_vector", "vec_id", 5, exact=True)
+
+
 @query(f"""WITH {_COSINE}, u AS (SELECT q_id, vec_id, 0 AS leg, rank FROM same UNION ALL SELECT q_id, vec_id, 1 AS leg, rank FROM dense),
 f AS (SELECT q_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(leg * 1000 + rank) AS first FROM u GROUP BY ALL)
 SELECT q_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, first, vec_id) AS rank FROM f) WHERE rank <= 5""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of the same label fused with all neighbours."""
-    vectors = table(spark, sf_dir, "embeddings")
-    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vector"), F.col("label").alias("q_label"))
-    same = s.dense_topk(queries.withColumnRenamed("q_label", "label"), vectors, "q_id", "q_vector", "vec_id", "embedding", 10, label="label")
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vector"), F.col("label").alias("q_label"))
+    same = s.dense_topk(queries.withColumnRenamed("q_label", "label"), rows, "q_id", "q_vector", "vec_id", "embedding", 10, label="label")
     return s.fuse([same, _dense(spark, sf_dir, 10)], "q_id", "vec_id", 5)
 
 
