@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import gram_index, retrieval, vectors
+from tidemark.operators import gram_index, retrieval, vectors, word_index
 from tidemark.operators import search as s
 from tidemark.operators.gram_index import GramIndex
 from tidemark.queries import query
@@ -33,6 +33,19 @@ def documents_index(spark: SparkSession, sf_dir: str) -> GramIndex:
     return index
 
 
+def documents_words(spark: SparkSession, sf_dir: str) -> word_index.WordIndex:
+    """The word index of `documents`, written once in an application."""
+    name = (spark.sparkContext.applicationId, f"{sf_dir} words")
+    if name in _INDEXES:
+        try:
+            return word_index.reopened(spark, _INDEXES[name])
+        except AnalysisException:
+            pass
+    index = word_index.build(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    _INDEXES[name] = index.path
+    return index
+
+
 _GRAMS = """g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, length(text) - 1), lambda i: substring(lower(text), i::INT, 3)))) AS gram FROM documents WHERE length(text) >= 3),
 i AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, length(text) - 1), lambda i: substring(lower(text), i::INT, 3)))) AS gram FROM benchmark WHERE length(text) >= 3),
 f AS (SELECT gram, count(*) AS df FROM g GROUP BY gram), m AS (SELECT item_id, doc_id FROM i JOIN g USING (gram))"""
@@ -68,8 +81,7 @@ FROM q JOIN df USING (term) JOIN tf USING (term) JOIN d ON d.doc_id = tf.doc_id,
 SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
 def token_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each item by BM25."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return s.bm25(_items(spark, sf_dir), docs, "item_id", "phrase", "doc_id", "text", 10)
+    return word_index.topk(_items(spark, sf_dir), documents_words(spark, sf_dir), "item_id", "phrase", "doc_id", 10)
 
 
 _COSINE = """c AS (SELECT q.vec_id AS q_id, v.vec_id, v.label, q.label AS q_label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
