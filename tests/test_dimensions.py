@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +39,18 @@ def test_model_dimensions(spark):
     assert [(r.doc_id, r.batch) for r in findings.collect()] == [("a", 1)]
     ruled = {r.doc_id: (r.verdict, r.confidence, r.relevant) for r in d.excerpt_model_results(chunks, ["bad"], make, "review").collect()}
     assert ruled["a"] == ("partial", 70, True) and ruled["b"] == ("uncertain", 20, False)
+
+
+def test_sampled_rows_are_those_of_the_standard_generator(spark):
+    rows = [(f"d{i % 3}", i, "key" if i % 4 == 0 else "other" if i % 4 < 3 else None) for i in range(60)] + [("one", 0, "key")]
+    df = spark.createDataFrame(rows, "doc_id string, pos int, content string")
+    got = {}
+    for r in d.sampled_rows(df, F.col("content").contains("key"), 8).orderBy("doc_id", "rank").collect():
+        got.setdefault(r.doc_id, []).append(r.pos)
+    for doc in ("d0", "d1", "d2", "one"):
+        draw = random.Random(42)
+        hits = [p for x, p, c in rows if x == doc and c == "key"]
+        rest = [p for x, p, c in rows if x == doc and c != "key"]
+        draw.shuffle(hits)
+        draw.shuffle(rest)
+        assert got[doc] == hits[:8] + rest[: max(0, 8 - len(hits))]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,9 +105,26 @@ def context_fields(context: Column, given: Column | None = None) -> Column:
     return F.struct(*[F.when(some, F.coalesce(given[n], F.lit(""))).otherwise(F.coalesce(read[n], F.lit(""))).alias(n) for n in names])
 
 
-def sampled_order(key: Column, seed: int = 42) -> Column:
-    """An order at random that a run can repeat."""
-    return F.xxhash64(F.lit(seed), key)
+def sampled_rows(rows: DataFrame, hit: Column, most: int, seed: int = 42) -> DataFrame:
+    """rows with `rank`: the first `most` of each document, those with `hit` first, both kinds shuffled by the seed.
+
+    The order is that of the standard generator (Mersenne Twister) started with the seed for each document, which
+    shuffles its hits and then its other rows, each in the order of `pos`. Only positions travel to the shuffle.
+    """
+
+    def shuffle(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        draw = random.Random(seed)
+        hits, rest = group[group["_hit"]]["pos"].tolist(), group[~group["_hit"]]["pos"].tolist()
+        draw.shuffle(hits)
+        draw.shuffle(rest)
+        chosen = (hits[:most] + rest[: max(0, most - len(hits))])[:most]
+        return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]] * len(chosen), "pos": chosen, "rank": range(1, len(chosen) + 1)})
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("doc_id", "pos")}
+    places = rows.select("doc_id", "pos", F.coalesce(hit, F.lit(False)).alias("_hit"))
+    ranks = places.groupBy("doc_id").applyInPandas(shuffle, f"doc_id {kinds['doc_id']}, pos {kinds['pos']}, rank long")
+    return rows.join(ranks, ["doc_id", "pos"])
 
 
 def batched(rows: DataFrame, size: int = 10) -> DataFrame:

@@ -34,12 +34,11 @@ def evaluator_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.routed(docs, docs, dims, ["secret", "law"])
 
 
-@query("SELECT doc_id, quality FROM labels WHERE quality = 0 AND doc_id = 38 OR quality = 0 AND doc_id = 41 OR doc_id = 5 AND quality = 0")
+@query("SELECT doc_id, quality FROM labels WHERE quality = 0 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'fr')")
 def labels_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labels of some documents, of one pipeline."""
+    """The labels of the documents of a list, of one pipeline."""
     rows = table(spark, sf_dir, "labels").withColumn("pipeline", F.when(F.col("quality") == 0, "audit").otherwise("label"))
-    parts = [store.labels_of(rows, i, "audit") for i in (38, 41, 5)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "quality")
+    return store.labels_of(rows, table(spark, sf_dir, "documents").where("lang = 'fr'"), "audit").select("doc_id", "quality")
 
 
 @query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_quantity DESC, l_extendedprice DESC) AS rn FROM lineitem)

@@ -26,10 +26,14 @@ def table_of_contents(blocks: DataFrame) -> DataFrame:
     return blocks.where("block_type = 'heading'").groupBy("doc_id", "heading_level", F.col("text").alias("title")).agg(F.min("page").alias("page"))
 
 
-def scanned(pages: DataFrame, sample: int = 3, least: int = 50) -> DataFrame:
-    """(doc_id, is_scanned): whether the first pages hold almost no text."""
+def scanned(pages: DataFrame, sample: int = 3, least: int = 50, docs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, is_scanned): whether the first pages hold almost no text; null text is none.
+
+    With `docs` (doc_id) also documents without such pages are told, as not scanned.
+    """
     first = pages.where(F.col("page_num") <= sample)
-    return first.groupBy("doc_id").agg((F.max(F.length(F.trim("text"))) < least).alias("is_scanned"))
+    found = first.groupBy("doc_id").agg((F.max(F.length(F.trim(F.coalesce("text", F.lit(""))))) < least).alias("is_scanned"))
+    return found if docs is None else docs.select("doc_id").distinct().join(found, "doc_id", "left").na.fill(False, ["is_scanned"])
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:

@@ -20,9 +20,9 @@ def by_dimension(chunks: DataFrame, dimension: str) -> DataFrame:
     return chunks.where(F.array_contains("dimensions", dimension))
 
 
-def labels_of(labels: DataFrame, doc_id: str | int, pipeline: str | None = None) -> DataFrame:
-    """The labels of a document, of one pipeline if asked."""
-    rows = labels.where(F.col("doc_id") == doc_id)
+def labels_of(labels: DataFrame, docs: DataFrame, pipeline: str | None = None) -> DataFrame:
+    """The labels of some documents (doc_id), of one pipeline if asked."""
+    rows = labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     return rows if pipeline is None else rows.where(F.col("pipeline") == pipeline)
 
 
