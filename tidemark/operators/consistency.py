@@ -150,7 +150,7 @@ def missing_side(has_main: Column, has_appendix: Column) -> Column:
 
 def clean_steps(steps: Column) -> Column:
     """Steps trimmed, blank ones left out; null is no steps."""
-    return F.filter(F.transform(F.coalesce(steps, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.coalesce(steps, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def numbered_steps(text: Column) -> Column:
