@@ -6,7 +6,7 @@ from xml.etree import ElementTree
 
 import pytest
 
-from tidemark.sources import annotate
+from tidemark.sources import annotate, docx
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 BODY = (
@@ -71,3 +71,18 @@ def test_files_of_a_folder(spark, tmp_path):
     got = {r.doc_id: r for r in annotate.annotated_files(spark, str(tmp_path), said).collect()}
     assert {d: (r.n_comments, r.error is None) for d, r in got.items()} == {"one": (2, True), "two": (0, True), "bad": (0, False)}
     assert len(ranges(read(bytes(got["one"].content))["word/document.xml"])) == 2 and bytes(got["two"].content) == two
+
+
+def test_pictures_of_files(spark, tmp_path):
+    a = "http://schemas.openxmlformats.org/drawingml/2006/main"
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    body = f'<w:document xmlns:w="{W[1:-1]}" xmlns:a="{a}" xmlns:r="{r}"><w:body><w:p><w:r><w:t>text</w:t></w:r></w:p><w:p><a:blip r:embed="i1"/><a:blip r:embed="i2"/><w:r><w:t>under it</w:t></w:r></w:p><w:tbl/><w:p><a:blip r:embed="gone"/></w:p><w:p><a:blip r:embed="i1"/></w:p></w:body></w:document>'
+    rels = '<Relationships xmlns="x"><Relationship Id="i1" Target="media/a.PNG"/><Relationship Id="i2" Target="/word/media/b.jpeg"/><Relationship Id="far" Target="http://x" TargetMode="External"/></Relationships>'
+    with zipfile.ZipFile(tmp_path / "one.docx", "w") as z:
+        for name, data in (("word/document.xml", body), ("word/_rels/document.xml.rels", rels), ("word/media/a.PNG", "A"), ("word/media/b.jpeg", "B")):
+            z.writestr(name, data)
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    got = sorted((x.doc_id, x.pos, x.suffix, bytes(x.content)) for x in docx.read_docx_images(spark, str(tmp_path)).collect())
+    assert got == [("one", 1, ".jpeg", b"B"), ("one", 1, ".png", b"A"), ("one", 5, ".png", b"A")]
+    blocks = {b.pos: b.block_type for b in docx.read_docx(spark, str(tmp_path)).where("doc_id = 'one'").collect()}
+    assert [p for p, k in sorted(blocks.items()) if k == "image"] == [1, 4, 5]

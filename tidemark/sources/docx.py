@@ -42,6 +42,49 @@ def body_blocks(content: bytes) -> list[tuple[str, str, str, list[list[str]] | N
     return out
 
 
+def package_images(content: bytes) -> list[tuple[int, str, bytes]]:
+    """(place of the image block, name in the package, bytes) of the pictures that the body shows, in order.
+
+    Places are those of `body_blocks`; pictures of one paragraph share its block, and linked ones have no bytes here.
+    """
+    with zipfile.ZipFile(io.BytesIO(content)) as package:
+        names = set(package.namelist())
+        rels = "word/_rels/document.xml.rels"
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(package.read(rels)) if r.get("TargetMode") != "External"} if rels in names else {}
+        body = ElementTree.fromstring(package.read("word/document.xml")).find(f"{_W}body")
+        out, pos = [], 0
+        for node in body if body is not None else ():
+            if node.tag == f"{_W}p":
+                blips = [x for x in node.iter() if x.tag.endswith("}blip")]
+                for blip in blips:
+                    target = targets.get(next((v for k, v in blip.attrib.items() if k.endswith("}embed")), None), "")
+                    name = target.lstrip("/") if target.startswith("/") else f"word/{target}"
+                    if target and name in names:
+                        out.append((pos, name, package.read(name)))
+                pos += bool(blips) + bool(_text(node).strip())
+            elif node.tag == f"{_W}tbl":
+                pos += 1
+    return out
+
+
+def read_docx_images(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, pos, name, suffix, content, sha256) of the pictures in the Word files at a path; a broken file has none."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for name, content in files[["path", "content"]].itertuples(index=False):
+                try:
+                    found = package_images(content)
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    continue
+                stem = re.sub(r"\.docx$", "", name.rsplit("/", 1)[-1])
+                yield pd.DataFrame([(stem, p, n, c) for p, n, c in found], columns=["doc_id", "pos", "name", "content"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
+    rows = files.mapInPandas(parse, "doc_id string, pos int, name string, content binary")
+    return rows.select(tx.safe_id(F.col("doc_id")).alias("doc_id"), "pos", "name", F.lower(F.regexp_extract("name", r"(\.[^./]+)$", 1)).alias("suffix"), "content", F.sha2("content", 256).alias("sha256"))
+
+
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of the Word files at a path; a file that is none has one block of type error."""
 
