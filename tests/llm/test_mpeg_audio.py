@@ -92,3 +92,51 @@ def test_tags_of_both_versions():
         end, fields = _tag_fields(data + b"rest")
         assert end == len(data) and fields == {"note": "x" * 300, "TIT2": "Straße"}
     assert _tag_fields(b"ID3") == (0, {}) and _tag_fields(b"") == (0, {})
+
+
+def frame(index=9, body=b""):
+    """One MPEG-1 frame at 48 kHz, mono, without a checksum."""
+    head = (0x7FF << 21 | 3 << 19 | 1 << 17 | 1 << 16 | index << 12 | 1 << 10 | 3 << 6).to_bytes(4, "big")
+    return (head + bytes(17) + body).ljust(3 * m.BITRATES_V1[index], b"\0")
+
+
+def safe(n):
+    return bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
+
+
+def text_frame(name, value, flags=b"\0\0", eight=False, packed=None):
+    body = packed if packed is not None else b"\x03" + value
+    return name + (len(body).to_bytes(4, "big") if eight else safe(len(body))) + flags + body
+
+
+def test_foreign_tags():
+    sound = frame() * 3
+    plain = text_frame(b"TIT2", b"song")
+    cases = {
+        "extended 2.4": (b"ID3\x04\0\x40", safe(6) + b"\x01\0" + plain, b""),
+        "extended 2.3": (b"ID3\x03\0\x40", (6).to_bytes(4, "big") + bytes(6) + text_frame(b"TIT2", b"song", eight=True), b""),
+        "footer": (b"ID3\x04\0\x10", plain, b"3DI\x04\0\x10" + safe(len(plain))),
+        "unsynchronised 2.3": (b"ID3\x03\0\x80", text_frame(b"TIT2", b"song", eight=True) + b"PRIV\0\0\0\x02\0\0\xff\0\xe0", b""),
+        "unsynchronised frame": (b"ID3\x04\0\0", text_frame(b"PRIV", b"", b"\0\x02", packed=b"\xff\0\xe0") + plain, b""),
+        "compressed": (b"ID3\x04\0\0", text_frame(b"TIT2", b"", b"\0\x09", packed=safe(5) + zlib.compress(b"\x03song")), b""),
+        "encrypted before": (b"ID3\x04\0\0", text_frame(b"TPE1", b"", b"\0\x04", packed=b"\x01secret") + plain, b""),
+    }
+    for name, (head, body, footer) in cases.items():
+        parsed = m.parse_stream(head + safe(len(body)) + body + footer + sound)
+        assert parsed["fields"] == {"TIT2": "song"}, name
+        assert (parsed["frames"], parsed["skipped"]) == (3, 0), name
+    old = b"TT2" + (5).to_bytes(3, "big") + b"\0song" + b"TXX" + (4).to_bytes(3, "big") + b"\0a\0b"
+    assert m.parse_stream(b"ID3\x02\0\0" + safe(len(old)) + old + sound)["fields"] == {"TT2": "song", "a": "b"}
+    closing = b"TAG" + b"Title".ljust(30, b"\0") + b"Artist".ljust(30) + bytes(30) + b"1999" + b"note".ljust(28, b"\0") + b"\0\x07\x11"
+    parsed = m.parse_stream(sound + closing)
+    assert parsed["fields"] == {"v1:title": "Title", "v1:artist": "Artist", "v1:year": "1999", "v1:comment": "note", "v1:track": "7"} and parsed["frames"] == 3
+
+
+def test_tables_of_other_encoders():
+    lame = b"Info" + (1 | 8).to_bytes(4, "big") + (4).to_bytes(4, "big") + bytes(4) + b"LAME3.100" + bytes(12) + (576 << 12 | 1234).to_bytes(3, "big")
+    parsed = m.parse_stream(frame(body=lame) + frame() * 4)
+    assert (parsed["vbr_frames"], parsed["delay"], parsed["padding"], parsed["frames"]) == (4, 576, 1234, 4)
+    assert parsed["played"] == 4 * 1152 - 576 - 1234
+    vbri = bytes(15) + b"VBRI" + b"\0\x01" + (288).to_bytes(2, "big") + bytes(2) + (999).to_bytes(4, "big") + (4).to_bytes(4, "big") + b"\0\x02\0\x03\0\x02\0\x02" + b"\0\x0a\0\x14"
+    parsed = m.parse_stream(frame(body=vbri) + frame(5) * 4)
+    assert (parsed["vbr_frames"], parsed["vbr_bytes"], parsed["delay"], parsed["vbr_points"], parsed["vbr_each"], parsed["frames"]) == (4, 999, 288, [0, 30, 90], 2, 4)

@@ -3,8 +3,9 @@
 `encode_stream` stores a payload losslessly in an MPEG-1 Layer III stream (48 kHz, mono, CRC on, the
 audio silent and the payload in the ancillary part of the frames), with an ID3v2 tag, a Xing table and
 an ID3v1 tag. `parse_stream` reads any Layer III stream back: it skips tags, finds the frame headers
-again after damage, reads the variable-bitrate table, verifies the CRC of each frame and gives exact
-durations and the byte offset of every frame.
+again after damage, reads the variable-bitrate table (Xing, Info or VBRI), verifies the CRC of each frame
+and gives exact durations, with and without the delay and padding that an encoder tells, and the byte offset
+of every frame. Tags are read in ID3v2.2 to 2.4, with extended header, footer and unsynchronisation, and ID3v1.
 
 `audio_columns` parses a binary column, `payload_audio` is the round trip over a text column. Null or
 empty text is the empty payload (64 zero bytes). Null or garbage media give zero frames. Repeated rows
@@ -15,6 +16,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -26,7 +28,9 @@ BITRATES_V1 = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
 BITRATES_V2 = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
 SAMPLE_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 # Fixed values of the Xing header: which fields follow.
-XING_FRAMES, XING_BYTES, XING_TOC = 1, 2, 4
+XING_FRAMES, XING_BYTES, XING_TOC, XING_QUALITY = 1, 2, 4, 8
+# Names of encoders that keep delay and padding behind the table.
+ENCODERS = (b"LAME", b"Lavf", b"Lavc")
 
 PAYLOAD_UNIT = 64
 
@@ -141,27 +145,98 @@ def encode_stream(payload: bytes, fields: dict[str, str] | None = None) -> bytes
 _TEXT_CODES = ("latin-1", "utf-16", "utf-16-be", "utf-8")
 
 
+def _synced(data: bytes) -> bytes:
+    """Bytes without the zeros that unsynchronisation put behind 0xFF."""
+    return data.replace(b"\xff\x00", b"\xff")
+
+
+def _unsafe(b: bytes) -> int:
+    return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
+
+
+def _frame_body(body: bytes, version: int, flags: int) -> bytes | None:
+    """A frame's content as its flags say; None where it is encrypted or broken."""
+    try:
+        if version >= 4:
+            if flags & 0x04:
+                return None
+            body = body[(1 if flags & 0x40 else 0) :]
+            body = body[(4 if flags & 0x01 else 0) :]
+            body = _synced(body) if flags & 0x02 else body
+            return zlib.decompress(body) if flags & 0x08 else body
+        if flags & 0x40:
+            return None
+        packed = flags & 0x80
+        body = body[(4 if packed else 0) + (1 if flags & 0x20 else 0) :]
+        return zlib.decompress(body) if packed else body
+    except zlib.error:
+        return None
+
+
 def _tag_fields(data: bytes) -> tuple[int, dict[str, str]]:
     """End of a leading ID3v2 tag (0 without one) and its text fields: TXXX by name, others by frame.
 
-    Sizes of frames have seven bits a byte from version 2.4 on, and eight in version 2.3.
+    Versions 2.2 to 2.4: sizes of frames have seven bits a byte from 2.4 on, eight before, and three bytes in 2.2.
+    Unsynchronisation, an extended header, a footer, and compressed or grouped frames are read; encrypted ones are not.
     """
     if len(data) < 10 or data[:3] != b"ID3":
         return 0, {}
-    unsafe = lambda b: b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
-    end, at, found = min(len(data), 10 + unsafe(data[6:10])), 10, {}
-    while at + 10 <= end and data[at] != 0:
-        frame, raw = data[at : at + 4], data[at + 4 : at + 8]
-        size = unsafe(raw) if data[3] >= 4 else int.from_bytes(raw, "big")
-        if frame[:1] == b"T" and size:
-            code = _TEXT_CODES[min(data[at + 10], 3)]
-            text = data[at + 11 : min(end, at + 10 + size)].decode(code, "replace").rstrip("\0")
-            name, _, value = text.partition("\0") if frame == b"TXXX" else (frame.decode("latin-1"), "", text)
-            found[name] = value.removeprefix("\ufeff")
-        at += 10 + size
+    version, flags, size = data[3], data[5], _unsafe(data[6:10])
+    end = min(len(data), 10 + size + (10 if version >= 4 and flags & 0x10 else 0))
+    body, at, found = data[10 : 10 + size], 0, {}
+    if flags & 0x80 and version < 4:
+        body = _synced(body)
+    if flags & 0x40 and version >= 3 and len(body) >= 4:
+        at = _unsafe(body[:4]) if version >= 4 else 4 + int.from_bytes(body[:4], "big")
+    head = 6 if version == 2 else 10
+    while at + head <= len(body) and body[at] != 0:
+        frame = body[at : at + (3 if version == 2 else 4)]
+        raw = body[at + len(frame) : at + 2 * len(frame)]
+        size = _unsafe(raw) if version >= 4 else int.from_bytes(raw, "big")
+        content = body[at + head : at + head + size]
+        if version > 2:
+            content = _frame_body(content, version, body[at + 9] | (0x02 if flags & 0x80 and version >= 4 else 0))
+        if frame[:1] == b"T" and content:
+            text = content[1:].decode(_TEXT_CODES[min(content[0], 3)], "replace").rstrip("\0")
+            name, _, value = text.partition("\0") if frame in (b"TXXX", b"TXX") else (frame.decode("latin-1"), "", text)
+            found[name.removeprefix("\ufeff")] = value.removeprefix("\ufeff")
+        at += head + size
     return end, found
 
 
+def _closing_fields(tag: bytes) -> dict[str, str]:
+    """The fields of an ID3v1 tag that hold something, by `v1:` names."""
+    text = lambda a, b: tag[a:b].split(b"\0")[0].decode("latin-1").rstrip()
+    found = {"title": text(3, 33), "artist": text(33, 63), "album": text(63, 93), "year": text(93, 97), "comment": text(97, 127)}
+    if tag[125] == 0 and tag[126]:
+        found["track"] = str(tag[126])
+    return {f"v1:{k}": v for k, v in found.items() if v}
+
+
+def _bitrate_table(frame: bytes, body: int) -> dict:
+    """What a first frame that is a table says: frames, bytes, seek points, encoder delay and padding; empty without one."""
+    out: dict = {}
+    if frame[body : body + 4] in (b"Xing", b"Info"):
+        flags, where = int.from_bytes(frame[body + 4 : body + 8], "big"), body + 8
+        for bit, name in ((XING_FRAMES, "vbr_frames"), (XING_BYTES, "vbr_bytes")):
+            if flags & bit:
+                out[name] = int.from_bytes(frame[where : where + 4], "big")
+                where += 4
+        if flags & XING_TOC:
+            out["vbr_toc"] = frame[where : where + 100]
+            where += 100
+        where += 4 if flags & XING_QUALITY else 0
+        if frame[where : where + 4] in ENCODERS and where + 24 <= len(frame):
+            both = int.from_bytes(frame[where + 21 : where + 24], "big")
+            out |= {"delay": both >> 12, "padding": both & 0xFFF}
+        return out or {"vbr_toc": None}
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        delay, _, size, frames, points, scale, width, each = struct.unpack(">HHIIHHHH", frame[42:62])
+        entries = [int.from_bytes(frame[62 + i * width : 62 + (i + 1) * width], "big") * scale for i in range(points) if 62 + (i + 1) * width <= len(frame)]
+        return {"vbr_frames": frames, "vbr_bytes": size, "delay": delay, "vbr_points": list(accumulate(entries, initial=0)), "vbr_each": each}
+    return out
+
+
 def parse_stream(data: bytes | None) -> dict:
     """Frames, samples, rate, checksum results, table, tag fields and frame offsets of a stream.
 
@@ -170,9 +245,12 @@ def parse_stream(data: bytes | None) -> dict:
     """
     data = data or b""
     at, fields = _tag_fields(data)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
+    end = len(data)
+    if end - at >= 128 and data[-128:-125] == b"TAG":
+        end -= 128
+        fields = _closing_fields(data[end:]) | fields
     out = {"frames": 0, "samples": 0, "rate": 0, "crc_ok": 0, "crc_bad": 0, "skipped": 0,
-           "vbr_frames": None, "vbr_bytes": None, "vbr_toc": None, "fields": fields, "offsets": [], "chunks": []}
+           "vbr_frames": None, "vbr_bytes": None, "vbr_toc": None, "vbr_points": None, "vbr_each": None, "delay": 0, "padding": 0, "fields": fields, "offsets": [], "chunks": []}
     offsets, chunks, first = out["offsets"], out["chunks"], True
     sure = False
     while at + 4 <= end:
@@ -189,14 +267,9 @@ def parse_stream(data: bytes | None) -> dict:
         if h.protected:
             good = crc16(data[at + 2 : at + 4] + data[at + 6 : body]) == int.from_bytes(data[at + 4 : at + 6], "big")
             out["crc_ok" if good else "crc_bad"] += 1
-        if first and data[body : body + 4] in (b"Xing", b"Info"):
-            flags, where = int.from_bytes(data[body + 4 : body + 8], "big"), body + 8
-            for bit, name in ((XING_FRAMES, "vbr_frames"), (XING_BYTES, "vbr_bytes")):
-                if flags & bit:
-                    out[name] = int.from_bytes(data[where : where + 4], "big")
-                    where += 4
-            if flags & XING_TOC:
-                out["vbr_toc"] = data[where : where + 100]
+        table = _bitrate_table(data[at:stop], body - at) if first else {}
+        if table:
+            out |= table
         else:
             out["frames"] += 1
             out["samples"] += h.samples
@@ -205,6 +278,8 @@ def parse_stream(data: bytes | None) -> dict:
             chunks.append((body, stop))
         first = False
         at = stop
+    # what an encoder put before and behind the sound does not play
+    out["played"] = max(0, out["samples"] - out["delay"] - out["padding"])
     return out
 
 
@@ -222,7 +297,8 @@ def pad(raw: bytes) -> bytes:
 
 AUDIO_FIELDS = (
     "frames long, duration_samples long, sample_rate long, duration_ms double, crc_ok long, crc_bad long, "
-    "bytes_skipped long, vbr_frames long, vbr_bytes long, frame_offsets array<long>, tags map<string,string>"
+    "bytes_skipped long, vbr_frames long, vbr_bytes long, frame_offsets array<long>, tags map<string,string>, "
+    "encoder_delay long, encoder_padding long, played_samples long, played_ms double"
 )
 
 
@@ -239,6 +315,8 @@ def audio_columns(df: DataFrame, media: str = "media", keep: tuple[str, ...] = (
                 "crc_ok": p["crc_ok"], "crc_bad": p["crc_bad"], "bytes_skipped": p["skipped"],
                 "vbr_frames": p["vbr_frames"], "vbr_bytes": p["vbr_bytes"],
                 "frame_offsets": p["offsets"], "tags": p["fields"],
+                "encoder_delay": p["delay"], "encoder_padding": p["padding"], "played_samples": p["played"],
+                "played_ms": 1000.0 * p["played"] / p["rate"] if p["rate"] else 0.0,
             })
         return pd.DataFrame(rows, columns=[x.split()[0] for x in AUDIO_FIELDS.split(", ")])
 
