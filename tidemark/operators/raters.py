@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import model
 from tidemark.operators import folds
+from tidemark.session import small
 
 FINDING = "struct<severity:string,description:string,evidence:string,rule_id:string>"
 RESULT = ["verdict", "score", "confidence", "findings", "need_review"]
@@ -167,7 +168,7 @@ def remaining(docs: DataFrame, dims: DataFrame, done: DataFrame) -> DataFrame:
     `dims` (dimension, group, needs_images) is the catalogue; dimensions on images are left out for
     documents without any (docs: doc_id, has_images); done (doc_id, dimension) is not done again.
     """
-    wanted = docs.join(F.broadcast(dims), F.col("has_images") | ~F.col("needs_images"))
+    wanted = docs.join(small(dims), F.col("has_images") | ~F.col("needs_images"))
     return wanted.select("doc_id", "dimension", "group").join(done.select("doc_id", "dimension"), ["doc_id", "dimension"], "left_anti")
 
 

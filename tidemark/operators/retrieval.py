@@ -10,7 +10,7 @@ from tidemark.operators import gram_index
 from tidemark.operators.gram_index import GramIndex
 from tidemark.operators.search import fuse, tokens
 from tidemark.operators.sequence import top, within_budget
-from tidemark.session import written
+from tidemark.session import small, written
 
 DEFAULT_BUDGET = (2500, 2000)
 
@@ -114,7 +114,7 @@ def hashed_vector(text: Column, size: int = 64) -> Column:
 
 def prewarmed(dims: DataFrame, docs: DataFrame, query: Column) -> DataFrame:
     """(doc_id, dimension, query): all retrieval queries of a run as one relation, so that one plan answers them."""
-    return docs.join(F.broadcast(dims)).select("doc_id", "dimension", query.alias("query"))
+    return docs.join(small(dims)).select("doc_id", "dimension", query.alias("query"))
 
 
 def static_query(dimension: Column, fallback: Column) -> Column:
@@ -134,7 +134,7 @@ def context_rows(chunks: DataFrame, dims: DataFrame, budget: int | None = None)
     chunks: doc_id, pos, content, dimensions; dims: dimension. The budget is twice the dimension's own, and
     nothing follows the first row that does not fit.
     """
-    every = chunks.join(F.broadcast(dims)).withColumn("_hit", F.coalesce(F.array_contains("dimensions", F.col("dimension")), F.lit(False)))
+    every = chunks.join(small(dims)).withColumn("_hit", F.coalesce(F.array_contains("dimensions", F.col("dimension")), F.lit(False)))
     some = every.groupBy("doc_id", "dimension").agg(F.bool_or("_hit").alias("_any"))
     rows = every.join(some, ["doc_id", "dimension"]).where(F.col("_hit") | ~F.col("_any"))
     limit = F.lit(budget) if budget is not None else F.coalesce(F.try_element_at(budgets(), F.col("dimension"))["chunks"], F.lit(DEFAULT_BUDGET[0])) * 2
@@ -184,8 +184,8 @@ def routed(chunks: DataFrame, docs: DataFrame, dims: DataFrame, tagged_only: lis
 
     Dimensions of `tagged_only` see rows with their tag; a document without any is not ready for them.
     """
-    rows = docs.select("doc_id").join(F.broadcast(dims.select("dimension")))
-    seen = chunks.join(F.broadcast(dims.select("dimension"))).where(~F.col("dimension").isin(*tagged_only) | F.coalesce(F.array_contains("dimensions", F.col("dimension")), F.lit(False)))
+    rows = docs.select("doc_id").join(small(dims.select("dimension")))
+    seen = chunks.join(small(dims.select("dimension"))).where(~F.col("dimension").isin(*tagged_only) | F.coalesce(F.array_contains("dimensions", F.col("dimension")), F.lit(False)))
     counted = seen.groupBy("doc_id", "dimension").agg(F.count(F.lit(1)).alias("n_rows"))
     return rows.join(counted, ["doc_id", "dimension"], "left").na.fill(0, ["n_rows"]).withColumn("ready", F.col("n_rows") > 0)
 

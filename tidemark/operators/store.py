@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], version: Column | str) -> DataFrame:
-    """The last version of each key; columns that one side lacks are null."""
+    """The last version of each key; columns that one side lacks are null.
+
+    An aggregate, summed before the shuffle, so that a key with very many versions is no task of its own.
+    """
     rows = old.unionByName(new, allowMissingColumns=True)
     v = F.col(version) if isinstance(version, str) else version
-    latest = Window.partitionBy(*key).orderBy(v.desc())
-    return rows.withColumn("_rn", F.row_number().over(latest)).where("_rn = 1").drop("_rn")
+    rest = [c for c in rows.columns if c not in key]
+    latest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(v.isNotNull(), v)).alias("_row"))
+    return latest.select(*[F.col(c) if c in key else F.col("_row")[c].alias(c) for c in rows.columns])
 
 
 def upsert_keeping(old: DataFrame, new: DataFrame, key: list[str], kept: str, now: Column) -> DataFrame:

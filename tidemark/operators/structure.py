@@ -97,9 +97,11 @@ def appendix_findings(chunks: DataFrame) -> DataFrame:
 def toc_page_findings(entries: DataFrame, pages: DataFrame) -> DataFrame:
     """Entries (doc_id, title, page) of a table of contents beyond the document's last page (doc_id, n_pages).
 
-    The first five by title order of appearance are cited, the rest counted in one more finding.
+    The first five in the order of the entries (`pos`, or page and title where there is none) are cited, the rest
+    counted in one more finding.
     """
-    beyond = entries.join(pages, "doc_id").where("page > n_pages").withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
+    order = ["pos"] if "pos" in entries.columns else ["page", "title"]
+    beyond = entries.join(pages, "doc_id").where("page > n_pages").withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
     cited = beyond.where("_rn <= 5").select("doc_id", *_finding("C1.toc_page", "medium", F.format_string("%s: page %d of %d", "title", "page", "n_pages")))
     more = beyond.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 5").select("doc_id", *_finding("C1.toc_page", "low", F.format_string("%d more entries", F.col("n") - 5)))
     return cited.unionByName(more)

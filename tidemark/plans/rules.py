@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import folds
 from tidemark.queries import query
-from tidemark.session import table
+from tidemark.session import small, table
 
 _RATERS = """a AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS verdict, 10 + doc_id % 3 AS score, 40 + doc_id % 60 AS confidence FROM labels),
 b AS (SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'partial' WHEN lang = 'fr' THEN 'uncertain' WHEN n_chars > 300 THEN 'pass' ELSE 'fail' END AS verdict, 8 + doc_id % 4 AS score, 45 + doc_id % 50 AS confidence FROM documents WHERE n_chars >= 200),
@@ -118,7 +118,7 @@ def resume_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dimensions of each task that are not done: all of them (a fixed few) minus the completed."""
     events = table(spark, sf_dir, "events")
     done = events.where("value > 100").select("user_id", "event_type")
-    every = events.select("user_id").distinct().crossJoin(F.broadcast(events.select("event_type").distinct()))
+    every = events.select("user_id").distinct().crossJoin(small(events.select("event_type").distinct()))
     return every.join(done, ["user_id", "event_type"], "left_anti")
 
 

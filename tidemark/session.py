@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
@@ -29,6 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A catalogue to be sent to all tasks, after its size has been checked."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows are no catalogue")
+    return F.broadcast(df)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: that of the session's checkpoints, or the warehouse where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
