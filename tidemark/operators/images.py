@@ -149,9 +149,9 @@ def image_results(images: DataFrame, docs: DataFrame, dimension: str) -> DataFra
     return joined.select("doc_id", F.lit(dimension).alias("dimension"), *ladder, F.col("n_images").cast("long").alias("n_images"))
 
 
-def area_description(chunks: DataFrame, most: int = 8) -> DataFrame:
+def area_description(chunks: DataFrame, most: int = 8, words: list[str] = AREA_WORDS, titles: list[str] = AREA_WORDS) -> DataFrame:
     """(doc_id, n_rows, text): the first rows whose text or title names the high-consequence area, joined."""
-    named = tx.any_of(F.col("content"), AREA_WORDS) | tx.any_of(F.coalesce("title", F.lit("")), AREA_WORDS)
+    named = tx.any_of(F.col("content"), words) | tx.any_of(F.coalesce("title", F.lit("")), titles)
     rows = chunks.where((F.trim("content") != "") & named).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("pos", F.trim("content").alias("t")))), 1, most).alias("r"))
     return rows.select("doc_id", F.size("r").cast("long").alias("n_rows"), F.array_join(F.transform("r", lambda x: x["t"]), "\n---\n").alias("text"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.lexicons import DOCUMENT_TYPES, RULE_BASIS
-from tidemark.operators import consistency, contest, raters, references, structure
+from tidemark.operators import chunking, consistency, contest, evaluators, images, raters, references, structure
 from tidemark.operators.sequence import top
 from tidemark.plans.documents import _FINDINGS_SQL, SEVERITY_WORDS, _structure_results, keyword_findings
 from tidemark.queries import query
@@ -429,3 +429,41 @@ def downgraded_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = labels.select("doc_id", F.lit("C4_reference").alias("dimension"), F.when(F.col("toxic") == 1, "fail").otherwise("pass").alias("verdict"), _long(F.lit(80)).alias("confidence"))
     return raters.downgraded(first.unionByName(second), ["doc_id"], [("C1_structure", "C4_reference")]).select("doc_id", "dimension", "verdict", "confidence")
 
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_orderdate AS a, min(l_shipdate) AS b, max(l_shipdate) FILTER (l_returnflag = 'R') AS c FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate),
+f AS (SELECT o_orderkey, (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT AS n, coalesce(a > b, false) OR coalesce(a > c, false) OR coalesce(b > c, false) AS inv,
+len(list_distinct(list_filter([year(a), year(b), year(c)], lambda y: y IS NOT NULL))) > 1 AS many FROM d)
+SELECT o_orderkey, n::BIGINT AS n_dates, inv AS inverted, many AS many_years, CASE WHEN n < 2 THEN 'uncertain' WHEN inv THEN 'fail' WHEN many THEN 'partial' ELSE 'pass' END AS verdict FROM f""")
+def step_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the steps of each order follow each other: ordered, first shipped, last returned goods shipped."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.min("l_shipdate").alias("shipped"), F.max(F.when(F.col("l_returnflag") == "R", F.col("l_shipdate"))).alias("returned"))
+    dates = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("ordered")).join(lines, "o_orderkey", "left")
+    found = evaluators.time_order(dates, "o_orderkey", ["ordered", "shipped", "returned"])
+    return found.withColumn("n_dates", _long(F.col("n_dates")))
+
+
+@query("""WITH t AS (SELECT conv_id AS doc_id, turn AS pos, trim(text) AS t FROM conversations WHERE trim(text) <> '' AND (contains(text, 'the') OR contains(text, 'los') OR contains(role, 'system'))),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM t)
+SELECT doc_id, count(*) AS n_rows, md5(string_agg(t, chr(10) || '---' || chr(10) ORDER BY pos)) AS text FROM r WHERE rn <= 8 GROUP BY doc_id""")
+def named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight rows of each document that name something in their text or title, as one text."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("role").alias("title"), F.col("text").alias("content"))
+    found = images.area_description(rows, words=["the", "los"], titles=["system"])
+    return found.select("doc_id", "n_rows", F.md5("text").alias("text"))
+
+
+@query("""WITH s AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM
+(SELECT conv_id AS doc_id, string_agg(CASE role WHEN 'system' THEN '# ' WHEN 'user' THEN '## ' ELSE '' END || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)),
+l AS (SELECT *, length(regexp_extract(line, '^(#{1,4}) ', 1)) AS level, CASE WHEN regexp_extract(line, '^(#{1,4}) ', 1) <> '' THEN trim(regexp_replace(line, '^#{1,4} ', '')) END AS head FROM s),
+n AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section, last_value(CASE WHEN level = 1 THEN head END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS chapter FROM l),
+g AS (SELECT doc_id, section, max(level) AS level, max(head) AS title, max(chapter) AS chapter, trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0), '')) AS content FROM n GROUP BY doc_id, section)
+SELECT doc_id, section::BIGINT AS section, level::BIGINT AS level, md5(title) AS title, md5(chapter) AS chapter, md5(substring(content, 1, 2000)) AS content FROM g WHERE section > 0 AND length(content) >= 60""")
+def sections_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as Markdown and split at their headings."""
+    mark = F.when(F.col("role") == "system", "# ").when(F.col("role") == "user", "## ").otherwise("")
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.concat(mark, "text").alias("t"))))
+    docs = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(lines, lambda x: x["t"]), "\n").alias("text"))
+    found = chunking.markdown_sections(docs, ["doc_id"], "text")
+    return found.select("doc_id", _long(F.col("section")).alias("section"), _long(F.col("level")).alias("level"), *[F.md5(c).alias(c) for c in ("title", "chapter", "content")])

@@ -38,5 +38,5 @@ def scanned(pages: DataFrame, sample: int = 3, least: int = 50, docs: DataFrame
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(source, text) of the Markdown files at a path, a row for each file."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("source"), F.col("value").alias("text"))
