@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +122,36 @@ def test_dense_search_with_string_ids_nulls_and_ties(spark):
 ])
 def test_first_json_object(text, expected):
     assert first_json_object(text) == expected
+
+
+def test_shared_trigrams_of_every_pair(spark):
+    texts = [(1, "the whole passage"), (2, "whole"), (3, "a hole"), (4, "xy"), (5, None), (6, ""), (7, "ole ole ole"), (8, "nothing"), (8, "hole"), (9, "管道运行"), (10, "wh ole")]
+    phrases = [(i, p) for i, p in enumerate(["whole", "hole", "xy", "ole ole ole", "管道运", "qqq", None, ""])] + [(100 + i, f"pass {i}") for i in range(300)]
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    expected = {}
+    for q, p in phrases:
+        for k, t in texts:
+            if p and t and (n := len(grams(p) & grams(t))):
+                old = expected.get((q, k), (0, False))
+                expected[q, k] = (old[0] + n, old[1] or p in t)
+    got = gram_index.shared_grams(spark.createDataFrame(texts, "k long, t string"), "k", "t", spark.createDataFrame(phrases, "q long, p string"), "q", "p")
+    assert {(r.q, r.k): (r.overlap, r.contained) for r in got.collect()} == expected
+    assert expected[0, 3] == (2, False) and expected[0, 1] == (3, True)
+
+
+def test_passes_of_the_index(monkeypatch):
+    monkeypatch.setattr(gram_index, "PASS_CHARS", 40)
+    texts = ["abcabc", "", "é管道\0", "x" * 90, "abc", "b"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 9 + [1] * 9, pa.int32()), pa.array([*range(9), *range(9)], pa.int32()), pa.array(texts)], ["seg", "place", "text"])
+    found = {}
+    for out in gram_index._grams(iter([batch.slice(0, 5), batch.slice(5)])):
+        for r in out.to_pylist():
+            assert r["n"] == len(r["places"])
+            found.setdefault((r["seg"], r["gram"]), []).extend(r["places"])
+    expected = {}
+    for i, t in enumerate(texts):
+        for g in {(t + "\0\0")[j : j + 3] for j in range(len(t))}:
+            expected.setdefault((i // 9, g), []).append(i % 9)
+    assert found == expected
+    names, offsets, docs = gram_index._packed([chr(40 + i) + "ab" for i in range(40000)] + ["".join(map(chr, [*range(40, 0xD800), *range(0xE000, 0x1E000)]))])
+    assert len(names) == len(offsets) - 1 and offsets[-1] == len(docs) == len(set(zip(np.repeat(names, np.diff(offsets)).tolist(), docs.tolist())))

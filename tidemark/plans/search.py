@@ -10,7 +10,7 @@ from tidemark.operators import gram_index, retrieval, vectors, word_index
 from tidemark.operators import search as s
 from tidemark.operators.gram_index import GramIndex
 from tidemark.queries import query
-from tidemark.session import table, written
+from tidemark.session import table
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,20 +48,15 @@ def documents_words(spark: SparkSession, sf_dir: str) -> word_index.WordIndex:
 
 _GRAMS = """g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, length(text) - 1), lambda i: substring(lower(text), i::INT, 3)))) AS gram FROM documents WHERE length(text) >= 3),
 i AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, length(text) - 1), lambda i: substring(lower(text), i::INT, 3)))) AS gram FROM benchmark WHERE length(text) >= 3),
-f AS (SELECT gram, count(*) AS df FROM g GROUP BY gram), m AS (SELECT item_id, doc_id FROM i JOIN g USING (gram))"""
+m AS (SELECT item_id, doc_id FROM i JOIN g USING (gram))"""
 
 
-@query(f"""WITH {_GRAMS}, r AS (SELECT item_id, gram, count(*) OVER (PARTITION BY item_id) AS wanted FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(df, 0), gram) AS r FROM i LEFT JOIN f USING (gram)) WHERE r <= 4),
-c AS (SELECT item_id, doc_id FROM r JOIN g USING (gram) GROUP BY item_id, doc_id, wanted HAVING count(*) = wanted)
-SELECT item_id, doc_id, count(*) AS overlap FROM c JOIN m USING (item_id, doc_id) GROUP BY ALL""")
+@query(f"""WITH {_GRAMS}, x AS (SELECT item_id, doc_id, count(*) AS overlap FROM m GROUP BY ALL), h AS (SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)))
+SELECT x.item_id, x.doc_id, overlap, h.doc_id IS NOT NULL AS contained FROM x LEFT JOIN h ON x.item_id = h.item_id AND x.doc_id = h.doc_id""")
 def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold an item's four rarest trigrams, with the number of different trigrams that both share."""
-    index = documents_index(spark, sf_dir)
-    items = _items(spark, sf_dir).withColumn("phrase", F.lower("phrase"))
-    found = written(spark, gram_index.candidates(index, items.select("phrase").distinct()).select("phrase", "seg", F.explode("places").alias("place")), "candidates")
-    shared = gram_index.overlap(index, found)
-    keys = shared.join(index.rows.select("seg", "place", F.col("key").alias("doc_id")), ["seg", "place"])
-    return items.join(keys, "phrase").select("item_id", "doc_id", "overlap")
+    """Every document that shares a trigram with an item, with their number, and whether it holds the whole item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    return gram_index.shared_grams(docs, "doc_id", "text", _items(spark, sf_dir).withColumn("phrase", F.lower("phrase")), "item_id", "phrase")
 
 
 @query(r"""WITH t AS (SELECT item_id, list_distinct(list_filter(string_split_regex(text, '\s+'), lambda w: length(w) >= 3 AND upper(w) NOT IN ('OR', 'AND', 'NOT'))) AS words FROM benchmark),
