@@ -1,6 +1,7 @@
 """The search layer with string ids, nulls, no hits, empty tables and very common phrases."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -155,3 +156,30 @@ def test_passes_of_the_index(monkeypatch):
     assert found == expected
     names, offsets, docs = gram_index._packed([chr(40 + i) + "ab" for i in range(40000)] + ["".join(map(chr, [*range(40, 0xD800), *range(0xE000, 0x1E000)]))])
     assert len(names) == len(offsets) - 1 and offsets[-1] == len(docs) == len(set(zip(np.repeat(names, np.diff(offsets)).tolist(), docs.tolist())))
+
+
+def test_blocks_and_parts_as_a_scan(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_VECTORS", 5)
+    monkeypatch.setattr(search, "PART_VECTORS", 30)
+    draw = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in draw.standard_normal(4)], int(i % 3)) for i in range(200)] + [(900, [0.0] * 4, None), (901, None, 1), (None, [1.0] * 4, 1)]
+    vectors = spark.createDataFrame(rows, "k long, v array<double>, label int")
+    queries = vectors.where("k % 10 = 0").select(F.col("k").alias("q"), F.col("v").alias("qv"), "label")
+    unit = {k: np.array(v) / (np.linalg.norm(v) or 1) for k, v, _ in rows if k is not None and v is not None}
+    label = {k: x for k, _, x in rows}
+    for named in (None, "label"):
+        expected = set()
+        for q in (x for x in unit if x % 10 == 0):
+            near = sorted((-round(float(unit[q] @ unit[x]), 6), x) for x in unit if x != q and (not named or label[q] is not None and label[q] == label[x]))[:3]
+            expected |= {(q, x, r + 1) for r, (_, x) in enumerate(near)}
+        got = search.dense_topk(queries, vectors, "q", "qv", "k", "v", 3, label=named)
+        assert {(r.q, r.k, r["rank"]) for r in got.collect()} == expected
+
+
+def test_scores_are_made_for_some_vectors_at_a_time():
+    matrix = search.unit_rows(list(np.random.default_rng(2).standard_normal((9000, 8))))
+    tracemalloc.start()
+    found = search.best_of(list(range(4000)), matrix[:4000], np.arange(9000), matrix, 2, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 8000 and peak < 64e6  # all scores are 288 MB

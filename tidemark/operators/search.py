@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
 
 from tidemark.operators import gram_index
 from tidemark.operators.gram_index import GramIndex
@@ -18,8 +13,8 @@ from tidemark.operators.sequence import top
 
 #: Rank fusion: score is the sum of 1 / (RRF_K + rank).
 RRF_K = 60
-#: A stated query set goes to the tasks in blocks of so many vectors.
-BLOCK_VECTORS = 4096
+#: Vectors of a block of queries and of a part of the rows; scores that a task holds at once.
+BLOCK_VECTORS, PART_VECTORS, SCORES = 4096, 16384, 1 << 20
 
 
 def tokens(text: Column, least: int = 3) -> Column:
@@ -29,13 +24,6 @@ def tokens(text: Column, least: int = 3) -> Column:
     return F.array_distinct(F.when(F.size(words) > 0, words).otherwise(whole))
 
 
-def _blocks(queries: DataFrame, size: Column, limit: int) -> list[DataFrame]:
-    """A stated query set in blocks of about `limit`, each small enough to be sent to every task."""
-    total = queries.agg(F.sum(size)).first()[0] or 0
-    n = max(1, -(-int(total) // limit))
-    return [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64(*queries.columns), F.lit(n)) == i) for i in range(n)]
-
-
 def contains_search(queries: DataFrame, index: GramIndex, q: str, phrase: str, key: str) -> DataFrame:
     """(q, key): documents that hold a query's phrase, in any case. A phrase of under three characters is not searched."""
     wanted = queries.select(q, F.lower(phrase).alias("phrase")).where(F.length("phrase") >= 3)
@@ -63,19 +51,21 @@ def bm25(queries: DataFrame, docs: DataFrame, q: str, query_text: str, key: str,
 def dense_topk(queries: DataFrame, vectors: DataFrame, q: str, query_vector: str, key: str, vector: str, k: int, places: int = 6, label: str | None = None) -> DataFrame:
     """(q, key, score, rank): the k nearest vectors by cosine, on request of the query's label only.
 
-    The stated queries go in blocks of `BLOCK_VECTORS` to all tasks; a task keeps the k best of its rows for
-    each query, and the final ranking sees only these. Null keys and vectors find nothing and are not found.
+    Queries in blocks of about `BLOCK_VECTORS` meet the rows in parts of about `PART_VECTORS`, each pair of a block
+    and a part as one group, so that no task holds more and nothing passes through the driver. A group keeps the k
+    best of its part for each query. Null keys and vectors find nothing and are not found.
     """
     labels = [] if label is None else [label]
     queries, vectors = queries.where(F.col(q).isNotNull() & F.col(query_vector).isNotNull()), vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
-    ddl = f"{q} {queries.schema[q].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
-    rows = vectors.select(key, vector, *labels)
-    out = None
-    for block in _blocks(queries.select(q, query_vector, *labels), F.lit(1), BLOCK_VECTORS):
-        stated = block.toPandas()  # at most a block
-        part = rows.mapInArrow(_nearest(stated, ddl, k, places, bool(label)), ddl)
-        out = part if out is None else out.unionByName(part)
-    return top(out, [q], [F.desc("score"), key], k)
+    kinds = queries.schema[q].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+    same = [F.col(c).alias("label") for c in labels]
+    n_blocks, n_parts = max(1, -(-queries.count() // BLOCK_VECTORS)), max(1, -(-vectors.count() // PART_VECTORS))
+    deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = queries.select(F.col(q).alias("q"), F.col(query_vector).cast("array<double>").alias("v"), *same).select(deal(n_blocks, "q", "v").alias("block"), all_of(n_parts).alias("part"), "*")
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), *same).select(deal(n_parts, "key", "v").alias("part"), all_of(n_blocks).alias("block"), "*")
+    found = mine.groupBy("block", "part").cogroup(rows.groupBy("block", "part")).applyInPandas(_nearest(k, places, bool(label)), f"q {kinds[0]}, key {kinds[1]}, score double")
+    return top(found, ["q"], [F.desc("score"), "key"], k).select(F.col("q").alias(q), F.col("key").alias(key), "score", "rank")
 
 
 def unit_rows(vectors: list, width: int | None = None) -> np.ndarray:
@@ -85,31 +75,36 @@ def unit_rows(vectors: list, width: int | None = None) -> np.ndarray:
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _nearest(stated: pd.DataFrame, ddl: str, k: int, places: int, labelled: bool):
-    """A scan that keeps the k best rows of its task for each stated query; equal scores go to the smaller key."""
-    kinds = _parse_datatype_string(ddl)
-    names, wanted = stated.iloc[:, 0].tolist(), unit_rows(stated.iloc[:, 1].tolist())
-    labels = stated.iloc[:, 2].to_numpy() if labelled else None
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[list[tuple]] = [[] for _ in names]
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            if not keys or not names:
-                continue
-            scores = np.round(wanted @ unit_rows(batch.column(1).to_pylist()).T, places)
-            own = np.array(batch.column(2).to_pylist(), dtype=object) if labelled else None
-            for i, row in enumerate(scores):
-                at = np.flatnonzero(own == labels[i]) if labelled else np.arange(len(row))
-                if len(at) > k + 1:
-                    # one more, as the query's own row does not count
-                    at = at[row[at] >= np.partition(row[at], len(at) - k - 1)[len(at) - k - 1]]
-                found = [(-float(row[j]), keys[j]) for j in at if keys[j] != names[i]]
-                best[i] = sorted(best[i] + found)[:k]
-        rows = [(name, key, -score) for name, found in zip(names, best, strict=True) for score, key in found]
-        columns = zip(*rows, strict=True) if rows else [[], [], []]
-        arrow = to_arrow_schema(kinds)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], arrow.names)
+def best_of(names: list, wanted: np.ndarray, keys: np.ndarray, matrix: np.ndarray, k: int, places: int, same: tuple | None = None) -> list[tuple]:
+    """(name, key, score): the k best rows of a matrix for each of the wanted vectors; equal scores go to the smaller key.
+
+    Scores are made for some vectors at a time, `SCORES` numbers at most. `same`: labels of the wanted and of the rows.
+    """
+    out = []
+    step = max(1, SCORES // max(1, len(keys)))
+    for at in range(0, len(names), step):
+        scores = np.round(wanted[at : at + step] @ matrix.T, places)
+        for i, row in enumerate(scores, at):
+            near = np.flatnonzero(same[1] == same[0][i]) if same else None
+            row = row if near is None else row[near]
+            # one more, as the query's own row does not count
+            some = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1]) if len(row) > k + 1 else np.arange(len(row))
+            near = some if near is None else near[some]
+            best = sorted((s, x) for s, x in zip((-row[some]).tolist(), keys[near].tolist(), strict=True) if x != names[i])[:k]
+            out += [(names[i], x, -s) for s, x in best]
+    return out
+
+
+def _nearest(k: int, places: int, labelled: bool):
+    """The k best rows of a part for each query of a block."""
+
+    def scan(mine: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(mine) and len(rows):
+            codes = pd.factorize(pd.concat([mine["label"], rows["label"]]))[0] if labelled else None
+            same = (codes[: len(mine)], np.where(codes[len(mine) :] < 0, -2, codes[len(mine) :])) if labelled else None
+            found = best_of(mine["q"].tolist(), unit_rows(mine["v"].tolist()), rows["key"].to_numpy(), unit_rows(rows["v"].tolist()), k, places, same)
+        return pd.DataFrame(found, columns=["q", "key", "score"])
 
     return scan
 

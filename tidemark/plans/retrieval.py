@@ -10,7 +10,7 @@ from tidemark.operators.sequence import priority_budget, top
 from tidemark.plans.documents import TAG_WORDS
 from tidemark.plans.search import _COSINE, _dense
 from tidemark.queries import query
-from tidemark.session import table
+from tidemark.session import table, written
 from tidemark.sources import registry, store
 
 
@@ -134,7 +134,7 @@ x AS (SELECT q_id, vec_id, score, row_number() OVER (PARTITION BY q_id ORDER BY
 SELECT q_id, vec_id, rank FROM x WHERE rank <= 5 UNION ALL SELECT q_id, vec_id, rank FROM dense WHERE rank <= 5 AND q_id NOT IN (SELECT q_id FROM n)""")
 def hybrid_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two legs fused; a query that only one leg answers gets that leg as it is."""
-    dense = _dense(spark, sf_dir, 10)
+    dense = written(spark, _dense(spark, sf_dir, 10), "dense")  # both legs read it
     lexical = top(dense.where("rank <= 8 and vec_id < q_id").select("q_id", "vec_id"), ["q_id"], ["vec_id"], 1 << 30)
     return retrieval.snippets(dense, lexical, "q_id", "vec_id").select("q_id", "vec_id", "rank")
 
