@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,32 @@ def test_empty_tables(spark):
     assert vectors.index_topk(none.select(F.col("k").alias("q"), F.col("v").alias("qv")), index, "q", "qv", "k", 3).count() == 0
     space = vectors.latent_space(none.select(F.col("k").alias("t")), "t", size=2, buckets=64, rounds=1)
     assert not space.encode("word").any()
+
+
+def test_probes_leave_the_task_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PROBES", 100)
+    n = 20
+    index = vectors.VectorIndex(None, np.eye(n), np.ones(n), np.full(n, 2), "")
+    caught = {}
+
+    class Asked:
+        sparkSession = spark
+
+        def mapInArrow(self, scan, ddl):
+            caught["scan"] = scan
+
+    vectors._probes(index, Asked(), "long", lambda angles, radius, floors: angles >= 0)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([[1.0] * n] * 50), pa.array([0] * 50, pa.int32())], ["q", "qv", "block"])
+    out = list(caught["scan"](iter([batch])))
+    assert max(b.num_rows for b in out) <= 100 and sum(b.num_rows for b in out) == 50 * n * 2
+    assert len({tuple(r.values()) for b in out for r in b.select(["cell", "part", "q"]).to_pylist()}) == 50 * n * 2
+
+
+def test_blocks_of_queries_as_one(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    rows = spark.createDataFrame([(i, [float(x) for x in draw.standard_normal(4)]) for i in range(300)], "k long, v array<double>")
+    asked = rows.where("k % 5 = 0").select(F.col("k").alias("q"), F.col("v").alias("qv"))
+    index = vectors.build_index(rows, "k", "v", part_rows=20)
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 7)
+    got = vectors.index_topk(asked, index, "q", "qv", "k", 3, probes=2, exact=True)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in search.dense_topk(asked, rows, "q", "qv", "k", "v", 3).collect()}

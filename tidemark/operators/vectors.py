@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.search import dense_topk, unit_rows
+from tidemark.operators.search import best_of, dense_topk, unit_rows
 from tidemark.operators.sequence import top
 from tidemark.session import shared_folder, written
 
 BUCKETS, SIZE, EXTRA, ROUNDS = 1 << 15, 32, 8, 3
-SAMPLE_ROWS, PART_ROWS = 20_000, 50_000
+SAMPLE_ROWS, PART_ROWS = 20_000, 16_384
+#: Probes that a task makes at once, and queries of a group.
+PROBES, BLOCK_QUERIES = 1 << 14, 1 << 14
 #: Buckets of the thin matrix that are summed together.
 BLOCK = 1024
 _WORD = re.compile(r"[^\W_]+")
@@ -187,24 +189,27 @@ def build_index(vectors: DataFrame, key: str, vector: str, cells: int | None = N
 
 
 def _probes(index: VectorIndex, queries: DataFrame, kind: str, choose) -> DataFrame:
-    """(cell, part, q, qv) for the cells that choose(angles (n, cells), floors) picks for each query."""
+    """(cell, part, block, q, qv) for the cells that choose(angles (n, cells), floors) picks for each query.
+
+    queries: q, qv, on request a floor, and the query's block last.
+    """
     sent = queries.sparkSession.sparkContext.broadcast((index.directions, index.radius, index.parts))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions, radius, parts = sent.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, PROBES // max(1, int(parts.sum())))
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             angles = np.arccos(np.clip(unit_rows(batch.column(1).to_pylist()) @ directions.T, -1, 1))
-            floors = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 2 else None
+            floors = batch.column(2).to_numpy(zero_copy_only=False) if batch.num_columns > 3 else None
             row, cell = np.nonzero(choose(angles, radius, floors))
             many = parts[cell]
             row, cell = np.repeat(row, many), np.repeat(cell, many)
             part = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take)], ["cell", "part", "q", "qv"])
+            block = batch.column(batch.num_columns - 1).take(take)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), block, batch.column(0).take(take), batch.column(1).take(take)], ["cell", "part", "block", "q", "qv"])
 
-    return queries.mapInArrow(scan, f"cell int, part int, q {kind}, qv array<double>")
+    return queries.mapInArrow(scan, f"cell int, part int, block int, q {kind}, qv array<double>")
 
 
 def index_topk(queries: DataFrame, index: VectorIndex, q: str, query_vector: str, key: str, k: int, probes: int = 8, exact: bool = False, places: int = 6) -> DataFrame:
@@ -216,31 +221,28 @@ def index_topk(queries: DataFrame, index: VectorIndex, q: str, query_vector: str
     def score(mine: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(mine) and len(rows):
-            keys = rows["key"].to_numpy()
-            matrix = unit_rows(rows["vector"].tolist())
-            for at in range(0, len(mine), 256):
-                block = mine.iloc[at : at + 256]
-                for name, row in zip(block["q"], np.round(unit_rows(block["qv"].tolist()) @ matrix.T, places), strict=True):
-                    near = np.flatnonzero(row >= np.partition(row, max(0, len(row) - k - 1))[max(0, len(row) - k - 1)])
-                    best = sorted((-float(row[j]), keys[j]) for j in near if keys[j] != name)[:k]
-                    out += [(name, x, -s) for s, x in best]
+            out = best_of(mine["q"].tolist(), unit_rows(mine["qv"].tolist()), rows["key"].to_numpy(), unit_rows(rows["vector"].tolist()), k, places)
         return pd.DataFrame(out, columns=["q", "key", "score"])
 
     def searched(asked: DataFrame) -> DataFrame:
-        pairs = asked.groupBy("cell", "part").cogroup(index.rows.groupBy("cell", "part"))
+        rows = index.rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        pairs = asked.groupBy("cell", "part", "block").cogroup(rows.groupBy("cell", "part", "block"))
         return pairs.applyInPandas(score, f"q {kinds[0]}, key {kinds[1]}, score double")
 
     def nearest(angles, radius, floors):
         limit = np.partition(angles, min(probes, angles.shape[1]) - 1, axis=1)[:, min(probes, angles.shape[1]) - 1]
         return angles <= limit[:, None]
 
-    found = searched(_probes(index, stated, kinds[0], nearest))
+    # a group holds the queries of one block that probe a part of a cell
+    blocks = max(1, -(-stated.count() // BLOCK_QUERIES))
+    mine = F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block")
+    found = searched(_probes(index, stated.select("q", "qv", mine), kinds[0], nearest))
     if exact:
         found = written(spark, found, "vector-probes")
         w = top(found, ["q"], [F.desc("score"), "key"], k)
         floors = w.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
         # rounding may lift a score by half a unit of its last place
-        rest = stated.join(floors, "q", "left").select("q", "qv", F.coalesce(F.col("floor") - 10.0**-places, F.lit(-2.0)).alias("floor"))
+        rest = stated.join(floors, "q", "left").select("q", "qv", F.coalesce(F.col("floor") - 10.0**-places, F.lit(-2.0)).alias("floor"), mine)
 
         def others(angles, radius, floors):
             best = np.cos(np.maximum(angles - radius - 1e-7, 0))
