@@ -7,6 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import events
 from tidemark.functions import model
 from tidemark.operators import consistency, contest, raters
 from tidemark.operators import store as merges
@@ -139,3 +140,12 @@ def test_progress_counts(spark, tmp_path):
     q = trace.progress(trace.read_events(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("task_progress").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r.user_id: (r.done, r.failed) for r in spark.table("task_progress").collect()} == {7: (1, 1), 8: (1, 0)}
+
+
+def test_date_order_rules_join_in_tasks_of_so_many_rows(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    expected = sorted(tuple(r) for r in events.date_order_rules(spark, sf).collect())
+    monkeypatch.setattr(events, "TASK_ROWS", 500)
+    found = events.date_order_rules(spark, sf)
+    assert sorted(tuple(r) for r in found.collect()) == expected
+    assert found.rdd.getNumPartitions() >= spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500
