@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.operators import search, word_index
 
@@ -50,3 +51,30 @@ def test_empty_tables(spark):
     queries = spark.createDataFrame([("q", "word")], "q string, t string")
     assert word_index.topk(queries, index, "q", "t", "k", 3).count() == 0
     assert word_index.topk(queries.limit(0), index, "q", "t", "k", 3).count() == 0
+
+
+def test_lists_of_several_passes(monkeypatch):
+    monkeypatch.setattr(word_index, "PASS_ENTRIES", 7)
+    draw = random.Random(8)
+    docs = [(i // 12, i % 12, [(w, draw.randint(1, 4)) for w in draw.sample("abcdef", draw.randint(0, 6))]) for i in range(36)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([d[0] for d in docs], pa.int32()), pa.array([d[1] for d in docs], pa.int32()), pa.array([sum(n for _, n in d[2]) for d in docs], pa.int32()),
+         pa.array([[w for w, _ in d[2]] for d in docs], pa.list_(pa.string())), pa.array([[n for _, n in d[2]] for d in docs], pa.list_(pa.int32()))],
+        ["seg", "place", "len", "words", "times"],
+    )
+    out = [r for b in word_index._lists(5.0, 4)(iter([batch.slice(0, 7), batch.slice(7, 0), batch.slice(7)])) for r in b.to_pylist()]
+    assert len(out) > 18 and all(r["n"] == len(r["places"]) == len(r["gains"]) for r in out)
+    found = {}
+    for r in out:
+        found.setdefault((r["word"], r["seg"]), []).extend(zip(r["places"], r["gains"]))
+        tops = {}
+        for p, g in zip(r["places"], r["gains"]):
+            tops[p // 4] = max(g, tops.get(p // 4, 0))
+        assert dict(zip(r["blocks"], r["tops"])) == tops
+    expected = {}
+    for seg, place, words in docs:
+        for w, n in words:
+            expected.setdefault((w, seg), []).append((place, n * 2.2 / (n + 1.2 * (0.25 + 0.75 * sum(x for _, x in words) / 5))))
+    assert found.keys() == expected.keys()
+    for name, some in expected.items():
+        assert [p for p, _ in some] == [p for p, _ in found[name]] and np.allclose([g for _, g in some], [g for _, g in found[name]])
