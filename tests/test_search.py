@@ -183,3 +183,11 @@ def test_scores_are_made_for_some_vectors_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found) == 8000 and peak < 64e6  # all scores are 288 MB
+
+
+def test_phrases_in_blocks_as_a_scan(spark, index, texts, monkeypatch):
+    monkeypatch.setattr(gram_index, "BLOCK_PHRASES", 4)
+    low = {k: lower(spark, t) for k, t in texts if k is not None and t is not None}
+    asked = ["valve", "sure", "nowhere", "é", "zz"]
+    df = spark.createDataFrame([(p,) for p in [*asked, "", None]], "phrase string")
+    assert hits(gram_index.find(index, df, 2)) == sorted((p, k) for p in asked for k in sorted(k for k, t in low.items() if p in t)[:2])
