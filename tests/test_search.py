@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.model import first_json_object
 from tidemark.operators import gram_index, retrieval, search
+from tidemark.queries import QUERIES
 
 
 def hits(df):
@@ -191,3 +192,50 @@ def test_phrases_in_blocks_as_a_scan(spark, index, texts, monkeypatch):
     asked = ["valve", "sure", "nowhere", "é", "zz"]
     df = spark.createDataFrame([(p,) for p in [*asked, "", None]], "phrase string")
     assert hits(gram_index.find(index, df, 2)) == sorted((p, k) for p in asked for k in sorted(k for k, t in low.items() if p in t)[:2])
+
+
+def test_every_vector_is_a_query_of_the_fusion(spark, tmp_path):
+    draw = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in draw.standard_normal(4)], int(i % 3)) for i in range(1, 90)] + [(901, None, 1), (902, [1.0, 2.0, 0.5, 0.0], None), (903, [2.0, 4.0, 1.0, 0.0], 1), (None, [1.0] * 4, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = {k: np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for k, v, _ in rows if k is not None and v is not None}
+    label = {k: x for k, _, x in rows}
+    expected = set()
+    for q in unit:
+        near = sorted((-round(float(unit[q] @ unit[x]), 6), x) for x in unit if x != q)
+        legs = [[x for _, x in near if label[q] is not None and label[x] == label[q]][:10], [x for _, x in near][:10]]
+        places = {}
+        for leg, found in enumerate(legs):
+            for rank, x in enumerate(found, 1):
+                places.setdefault(x, []).append((leg, rank))
+        fused = sorted((-round(sum(1 / (60 + rank) for _, rank in p), 9), min(p), x) for x, p in places.items())[:5]
+        expected |= {(q, x, -s, rank) for rank, (s, _, x) in enumerate(fused, 1)}
+    got = {(r.q_id, r.vec_id, r.score, r["rank"]) for r in QUERIES["rrf_fusion"](spark, str(tmp_path)).collect()}
+    assert {q for q, *_ in got} == set(unit) and got == expected
+
+
+@pytest.mark.parametrize("kind, key", [("float", "long"), ("double", "string")])
+def test_legs_of_one_pass_equal_those_of_two(spark, monkeypatch, kind, key):
+    monkeypatch.setattr(search, "PART_NUMBERS", 4 * 60)
+    monkeypatch.setattr(search, "BLOCK_NUMBERS", 4 * 30)
+    draw = np.random.default_rng(6)
+    name = (lambda i: i) if key == "long" else (lambda i: f"v{i}")
+    rows = [(name(i), [float(x) for x in draw.standard_normal(4)], int(i % 7)) for i in range(120)] + [(name(200 + i), [1.0, 1.0, 0.0, 0.0], i % 2) for i in range(60)]
+    rows += [(name(900), [0.0] * 4, None), (name(901), None, 1), (None, [1.0] * 4, 1)]
+    vectors = spark.createDataFrame(rows, f"k {key}, v array<{kind}>, label int")
+    queries = vectors.select(F.col("k").alias("q"), F.col("v").alias("qv"), "label")
+    got = {tuple(r) for r in search.dense_legs(queries, vectors, "q", "qv", "k", "v", 4, "label").collect()}
+    expected = set()
+    for leg, named in enumerate(("label", None)):
+        expected |= {(r.q, r.k, leg, r.score, r["rank"]) for r in search.dense_topk(queries, vectors, "q", "qv", "k", "v", 4, label=named).collect()}
+    assert got == expected
+    assert search.dense_legs(queries, vectors.limit(0), "q", "qv", "k", "v", 4, "label").count() == 0
+    assert search.dense_legs(queries.limit(0), vectors, "q", "qv", "k", "v", 4, "label").count() == 0
+
+
+def test_copies_of_a_key_leave_room_for_k_others():
+    matrix = search.unit_rows([[1.0, 0.0]] * 3 + [[1.0, 0.1 * i] for i in range(1, 8)])
+    keys = np.array([5, 5, 5, 0, 1, 2, 3, 4, 6, 7])
+    same = np.zeros(1, dtype=int), np.zeros(10, dtype=int)
+    _, found, leg, _ = search.best_legs(keys[:1], matrix[:1], keys, matrix, 2, 6, same)
+    assert found.tolist() == [0, 1, 0, 1] and leg.tolist() == [0, 0, 1, 1]

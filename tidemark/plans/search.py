@@ -79,10 +79,12 @@ def token_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_index.topk(_items(spark, sf_dir), documents_words(spark, sf_dir), "item_id", "phrase", "doc_id", 10)
 
 
-_COSINE = """c AS (SELECT q.vec_id AS q_id, v.vec_id, v.label, q.label AS q_label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
-FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+_PAIRS = """c AS (SELECT q.vec_id AS q_id, v.vec_id, v.label, q.label AS q_label, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id"""
+_BEST = """),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM c) WHERE rank <= 10),
 same AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM c WHERE label = q_label) WHERE rank <= 10)"""
+_COSINE = f"{_PAIRS} WHERE q.vec_id % 20 = 0{_BEST}"
 
 
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -105,15 +107,15 @@ def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.index_topk(queries, vectors.build_index(rows, "vec_id", "embedding"), "q_id", "q_vector", "vec_id", 5, exact=True)
 
 
-@query(f"""WITH {_COSINE}, u AS (SELECT q_id, vec_id, 0 AS leg, rank FROM same UNION ALL SELECT q_id, vec_id, 1 AS leg, rank FROM dense),
+@query(f"""WITH {_PAIRS}{_BEST}, u AS (SELECT q_id, vec_id, 0 AS leg, rank FROM same UNION ALL SELECT q_id, vec_id, 1 AS leg, rank FROM dense),
 f AS (SELECT q_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(leg * 1000 + rank) AS first FROM u GROUP BY ALL)
 SELECT q_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, first, vec_id) AS rank FROM f) WHERE rank <= 5""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours of the same label fused with all neighbours."""
+    """Neighbours of the same label fused with all neighbours, for every vector."""
     rows = table(spark, sf_dir, "embeddings")
-    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vector"), F.col("label").alias("q_label"))
-    same = s.dense_topk(queries.withColumnRenamed("q_label", "label"), rows, "q_id", "q_vector", "vec_id", "embedding", 10, label="label")
-    return s.fuse([same, _dense(spark, sf_dir, 10)], "q_id", "vec_id", 5)
+    queries = rows.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vector"), "label")
+    legs = s.dense_legs(queries, rows, "q_id", "q_vector", "vec_id", "embedding", 10, "label")
+    return s.fuse_legs(legs, "q_id", "vec_id", 5)
 
 
 @query(f"""WITH {_COSINE} SELECT q_id, vec_id, rank FROM (SELECT *, count(*) FILTER (label = q_label) OVER (PARTITION BY q_id) AS n FROM dense) WHERE label = q_label OR n < 2""")
